@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from helixframe.llm.common import cut
+from helixframe.llm.common import bounded_batches, cut
 
 CAPACITY = 2048
 END_ID = 0
 #: Buckets of ids by which the pieces of a length are numbered.
 BUCKETS = 256
 #: Chunks whose ids a Python worker keeps; it starts afresh beyond that.
-CACHE = 1_500_000
+CACHE = 300_000
 
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _AWKWARD = re.compile(r" (?=\s|$)|[\x1c-\x1f]")
@@ -126,7 +126,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY)
             frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
             yield frame
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
     return rows.mapInPandas(each, schema)
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import bounded_labels
+from helixframe.llm.common import bounded_batches, bounded_labels
 
 #: Bound of the labelled rows used for fitting.
 FIT_ROWS = 20_000
@@ -114,7 +114,7 @@ def fit(texts: DataFrame, shrink: float = 0.2, ridge: float = 0.05, temperature:
         yield pd.DataFrame({"label": list(total), "sums": [v.tolist() for v in total.values()]})
 
     sums = {0: np.zeros(1 + d + d * d), 1: np.zeros(1 + d + d * d)}
-    for row in texts.select("text", "label").mapInPandas(moments, "label int, sums array<double>").collect():
+    for row in bounded_batches(texts).select("text", "label").mapInPandas(moments, "label int, sums array<double>").collect():
         sums[row["label"]] += np.array(row["sums"])
     whole = sums[0] + sums[1]
     if not whole[0]:
@@ -162,11 +162,11 @@ def classify(docs: DataFrame, model: Discriminant) -> DataFrame:
     """All columns of ``docs`` with ``quality_score`` and ``quality_pred`` (1 if the score is at
     least 0.5, else 0). Null and empty texts are scored like any other, repeated rows each, an
     empty table gives no rows; columns of these two names are replaced."""
-    return docs.withColumn("quality_score", scored(F.col("text"), model)).withColumn(
+    return bounded_batches(docs).withColumn("quality_score", scored(F.col("text"), model)).withColumn(
         "quality_pred", (F.col("quality_score") >= 0.5).cast("int")
     )
 
 
 def keep_good(docs: DataFrame, model: Discriminant) -> DataFrame:
     """The rows scored at least 0.5, with the columns of ``docs`` as they are."""
-    return docs.where(scored(F.col("text"), model) >= 0.5)
+    return bounded_batches(docs).where(scored(F.col("text"), model) >= 0.5)

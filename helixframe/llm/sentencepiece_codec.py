@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 from tokenizers import Tokenizer, models, normalizers
 
+from helixframe.llm.common import bounded_batches
+
 MARK = "▁"
 #: Chunks whose ids a Python worker keeps; it starts afresh beyond that.
-CACHE = 600_000
+CACHE = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -133,7 +135,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             ids = [np.frombuffer(r, "<u4").astype(np.int32) for r, _ in done]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "parity": [p for _, p in done]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, ids array<int>, parity boolean")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, ids array<int>, parity boolean")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -144,7 +146,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             text = [codec(model).decode(np.asarray([] if i is None else i, "<u4").tobytes()) for i in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": text})
 
-    return encoded.select("doc_id", "ids").mapInPandas(each, "doc_id long, text string")
+    return bounded_batches(encoded).select("doc_id", "ids").mapInPandas(each, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
@@ -167,4 +169,4 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, schema)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, schema)

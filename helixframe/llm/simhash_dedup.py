@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import connected_components, cut, root_labels
+from helixframe.llm.common import bounded_batches, connected_components, cut, root_labels
 
 WORDS = 4
 SEED = 42
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fp = np.array([fingerprint(t, words) for t in batch["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, fp long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, fp long")
 
 
 def _syndromes() -> tuple[np.ndarray, list[np.ndarray]]:

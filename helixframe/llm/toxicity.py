@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import bounded_labels, cut
+from helixframe.llm.common import bounded_batches, bounded_labels, cut
 
 #: Bound of the labelled rows used for fitting.
 FIT_ROWS = 20_000
@@ -150,14 +150,14 @@ class ToxicityModel:
         trees, calibration = self.trees, self.calibration
         trees.setFeaturesCol(own[0]).setRawPredictionCol(own[1]).setProbabilityCol(own[3]).setPredictionCol(own[4])
         calibration.setFeaturesCol(own[2]).setPredictionCol(name)
-        out = docs.withColumn(own[0], array_to_vector(featured(F.col("text"), self.lexicon)))
+        out = bounded_batches(docs).withColumn(own[0], array_to_vector(featured(F.col("text"), self.lexicon)))
         out = trees.transform(out).withColumn(own[2], vector_to_array(own[3])[1])
         return calibration.transform(out.drop(name)).withColumn(name, F.least(F.greatest(F.col(name), F.lit(0.0)), F.lit(1.0))).drop(*own)
 
 
 def fit(texts: DataFrame, trees: int = 20, depth: int = 4, parts: int = 6) -> ToxicityModel:
     """Fit on rows (doc_id, text, label 0.0 or 1.0); a fifth of them, by a hash of the id, only calibrates."""
-    texts = cut(texts.select("doc_id", "text", "label"))
+    texts = cut(bounded_batches(texts).select("doc_id", "text", "label"))
     lexicon = learn_lexicon(texts)
     rows = cut(
         texts.select("doc_id", "label", array_to_vector(featured(F.col("text"), lexicon)).alias("features")).withColumn(
