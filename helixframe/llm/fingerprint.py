@@ -141,15 +141,21 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     both = both.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn(
         "told", F.array(*[F.struct(F.lit(k).alias("of"), F.sort_array(terms(F.col(c))).alias("terms")) for k, c in ((0, "text"), (1, "edited"))])
     )
-    keys = ["bucket", "place", "ghost", "doc_id", "n_chars", "edited_sha256"]
-    flat = both.select(*keys, F.explode_outer("told").alias("told")).select(
-        *keys, "told.of", F.xxhash64("told.terms").alias("whole"), F.col("told.terms").alias("terms")
-    )
-    flat = flat.select(*keys, "of", "whole", F.explode_outer("terms").alias("term"))
-    found = flat.join(known, "term", "left")
+    # A term outside the band only matters as part of the hash of all terms; of a text's terms the
+    # first place carries what belongs to the row, and rows that say nothing go before the grouping.
+    flat = both.select("bucket", "place", "ghost", "doc_id", "n_chars", F.unhex("edited_sha256").alias("sha"), F.explode("told").alias("told"))
+    flat = flat.withColumn("row", F.struct("ghost", "doc_id", "n_chars", "sha", F.xxhash64("told.terms").alias("whole")))
+    flat = flat.select("bucket", "place", "told.of", "row", F.posexplode_outer("told.terms").alias("at", "term"))
+    first = F.coalesce("at", F.lit(0)) == 0
+    flat = flat.select("bucket", "place", "of", F.when(first, F.col("row")).alias("row"), "term")
+    found = flat.join(known, "term", "left").where("levels is not null or row is not null")
     side = lambda k: F.sort_array(F.collect_set(F.when(F.col("levels").isNotNull() & (F.col("of") == k), F.struct("term", "levels", "top"))))
-    whole = lambda k: F.max(F.when(F.col("of") == k, F.col("whole")))
-    grouped = found.groupBy(*keys).agg(side(0).alias("t0"), side(1).alias("t1"), whole(0).alias("w0"), whole(1).alias("w1"))
+    whole = lambda k: F.max(F.when(F.col("of") == k, F.col("row"))).alias(f"r{k}")
+    grouped = found.groupBy("bucket", "place").agg(side(0).alias("t0"), side(1).alias("t1"), whole(0), whole(1))
+    grouped = grouped.select(
+        "bucket", "place", "r0.ghost", "r0.doc_id", "r0.n_chars", F.lower(F.hex("r0.sha")).alias("edited_sha256"), "t0", "t1",
+        F.col("r0.whole").alias("w0"), F.col("r1.whole").alias("w1"),
+    )
     grouped = grouped.withColumn("s0", scale_of("t0")).withColumn("s1", scale_of("t1"))
     for k in ("0", "1"):
         hashes = F.concat(F.array(F.col(f"s{k}").cast("long")), subset_hashes(f"t{k}", f"s{k}"))
