@@ -231,3 +231,14 @@ def test_pipeline_runs_whole(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in documents(spark).select("doc_id").collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "line_dedup", "simhash_dedup", "packing"]
+
+
+def test_line_simhashes_equal_counted_bits():
+    import xxhash
+
+    rng = np.random.default_rng(3)
+    lines = [[b"w%d" % w for w in rng.integers(0, 4000, n)] for n in (1, 2, 3, 40, 254, 255, 256, 510, 511, 12_000, 7)]
+    got = line_dedup.line_simhashes(lines).view(np.uint64)
+    for words, (high, low) in zip(lines, got.tolist()):
+        hashes = [xxhash.xxh3_128_intdigest(w) for w in words]
+        assert high << 64 | low == sum(1 << bit for bit in range(128) if 2 * sum(h >> bit & 1 for h in hashes) > len(words))
