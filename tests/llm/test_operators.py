@@ -242,3 +242,42 @@ def test_line_simhashes_equal_counted_bits():
     for words, (high, low) in zip(lines, got.tolist()):
         hashes = [xxhash.xxh3_128_intdigest(w) for w in words]
         assert high << 64 | low == sum(1 << bit for bit in range(128) if 2 * sum(h >> bit & 1 for h in hashes) > len(words))
+
+
+def line_groups(spark, lines):
+    """The groups that ``repeated_lines`` keeps one line of, and those of brute-force edit similarity, as counts of lines that stay."""
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r["doc_id"] for r in line_dedup.repeated_lines(docs).collect()}
+    words = [line_dedup.line_words(x) for x in lines]
+    near = [(a, b) for a, b in combinations(range(len(lines)), 2) if line_dedup.edit_similarity(words[a], words[b]) >= 0.8]
+    root = reachable(range(len(lines)), near)
+    return gone, {k for k in root if root[k] != k}
+
+
+def test_fuzzy_lines_find_all_edited_pairs(spark):
+    rng = np.random.default_rng(11)
+    vocab = [f"w{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in range(4000)]
+    lines = []
+    for n, edits in ((5, 1), (10, 1), (10, 2), (20, 1), (20, 4), (40, 4), (40, 8), (100, 20), (200, 40), (300, 45)):
+        for _ in range(8):
+            words = rng.choice(vocab, n).tolist()
+            lines.append(" ".join(words))
+            for k in rng.choice(n, edits, replace=False):
+                kind = rng.integers(3)
+                words[k] = "" if kind == 1 and n > 5 else str(rng.choice(vocab)) + (" twice" if kind == 2 and edits > 1 and k % 2 and n < 0 else "")
+            lines.append(" ".join(words))
+    got, want = line_groups(spark, lines)
+    assert len(want) >= 70 and got == want
+
+
+def test_fuzzy_lines_of_equal_words_and_large_groups(spark, monkeypatch):
+    """Lines of equal words in other orders share a fingerprint; the pair that passes is found among those that fail,
+    also in words of more lines than a block."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 40)
+    monkeypatch.setattr(line_dedup, "TRIES", 1)
+    rng = np.random.default_rng(12)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    lines = [" ".join(rng.permutation(words)) for _ in range(150)]
+    lines += [x.replace("iota", "changed") for x in lines[:20]]
+    got, want = line_groups(spark, lines)
+    assert 20 <= len(want) < 170 and got == want
