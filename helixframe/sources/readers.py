@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe import constants as C
@@ -42,13 +42,27 @@ def clean_fasta(records: DataFrame, kind: str = "dna") -> DataFrame:
     return records.withColumn("sequence", s).withColumn("length", F.length("sequence")).where("length > 0").dropDuplicates()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of each line of text files, ``line`` counting from 0 in its file.
+
+    Files are read in splits: the lines of each are counted, and a split starts after those before it."""
+    rows = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r", "").alias("value"),
+    )
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("least"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("least")).alias("shift"))
+    return rows.join(F.broadcast(splits), ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+
+
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """id, sequence, quality, length and mean phred of each read, from whole files of four-line records."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("l"))
-    at = F.expr("filter(sequence(0, greatest(size(l) div 4 - 1, 0)), i -> get(l, 4 * i) like '@%')")
-    rows = lines.select("l", F.explode(at).alias("i")).select(
-        F.expr("substring(get(l, 4 * i), 2)").alias("id"), F.expr("get(l, 4 * i + 1)").alias("sequence"), F.expr("get(l, 4 * i + 3)").alias("quality")
-    )
+    """id, sequence, quality, length and mean phred of each read, from files of four-line records."""
+    place = F.pmod("line", F.lit(4))
+    part = lambda k: F.max(F.when(place == k, F.col("value")))
+    records = numbered_lines(spark, path).groupBy("file", F.floor(F.col("line") / 4).alias("record"))
+    rows = records.agg(*[part(k).alias(f"l{k}") for k in range(4)]).where("l0 like '@%' and l2 is not null")
+    rows = rows.select(F.expr("substring(l0, 2)").alias("id"), F.col("l1").alias("sequence"), F.coalesce("l3", F.lit("")).alias("quality"))
     total = F.expr("aggregate(filter(split(quality, ''), c -> c <> ''), 0, (a, c) -> a + ascii(c) - 33)")
     return rows.withColumn("length", F.length("sequence")).withColumn("mean_quality", total / F.greatest(F.length("quality"), F.lit(1)))
 
