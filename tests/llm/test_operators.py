@@ -281,3 +281,69 @@ def test_fuzzy_lines_of_equal_words_and_large_groups(spark, monkeypatch):
     lines += [x.replace("iota", "changed") for x in lines[:20]]
     got, want = line_groups(spark, lines)
     assert 20 <= len(want) < 170 and got == want
+
+
+def test_packing_ids_equal_the_library(spark):
+    """Every sign of the basic plane in five surroundings, random control signs and spaces, and special tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), packing._Ids(path)
+    assert own.fast is not None
+    signs = [chr(c) for c in range(0x3400) if c % 3 or c < 0x400] + list("\U0001f600\U0001d400中가")
+    texts = [t for s in signs for t in (f"a{s}b", f" {s} x", f"{s}'s", f"1{s}2 {s}{s}\n")]
+    rng = np.random.default_rng(4)
+    odd = [chr(c) for c in (*range(0x20), *range(0x7F, 0xA1), 0x1680, 0x2028, 0x3000, 0x200B)] + list("   'sllabAé1,.")
+    texts += ["".join(rng.choice(odd, rng.integers(1, 14))) for _ in range(5000)]
+    texts += ["", " ", "a <|endoftext|> b", "\x1c's", " " * 300_000, "a" * 5000, "\n \t" * 400]
+    for text in texts:
+        assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def fewest_bins(lengths, capacity):
+    """The least number of bins, by search."""
+    best = [len(lengths)]
+
+    def put(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= lengths[k]:
+                rest = list(rooms)
+                rest.remove(room)
+                put(k + 1, [*rest, room - lengths[k]])
+        put(k + 1, [*rooms, capacity - lengths[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_dominant_sets_keep_the_optimum():
+    rng = np.random.default_rng(6)
+    reduced = 0
+    for _ in range(150):
+        lengths = sorted(rng.integers(1, 21, rng.integers(1, 9)).tolist(), reverse=True)
+        counts = {n: lengths.count(n) for n in lengths}
+        fixed, left = packing.dominant_sets(dict(counts), 20)
+        used = sum(p.times for p in fixed)
+        rest = [n for n, many in left.items() for _ in range(many)]
+        assert all(sum(p.lengths) <= 20 for p in fixed)
+        assert sorted([n for p in fixed for n in p.lengths * p.times] + rest, reverse=True) == lengths
+        assert used + fewest_bins(sorted(rest, reverse=True), 20) == fewest_bins(lengths, 20)
+        reduced += used
+    assert reduced > 100
+
+
+def test_plan_does_not_grow_with_the_pieces():
+    rng = np.random.default_rng(7)
+    small = {int(n): int(c) for n, c in zip(range(1, 2049, 5), rng.integers(1, 40, 410))}
+    plans = [packing.plan({n: c * times for n, c in small.items()}) for times in (1, 1000)]
+    assert all(len(p) < 8 * len(small) for p in plans)
+    for p, times in zip(plans, (1, 1000)):
+        used = defaultdict(int)
+        for x in p:
+            assert sum(x.lengths) <= 2048
+            for n in x.lengths:
+                used[n] += x.times
+        assert used == {n: c * times for n, c in small.items()}
