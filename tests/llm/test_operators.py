@@ -233,15 +233,40 @@ def test_pipeline_runs_whole(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "line_dedup", "simhash_dedup", "packing"]
 
 
-def test_line_simhashes_equal_counted_bits():
-    import xxhash
-
-    rng = np.random.default_rng(3)
-    lines = [[b"w%d" % w for w in rng.integers(0, 4000, n)] for n in (1, 2, 3, 40, 254, 255, 256, 510, 511, 12_000, 7)]
-    got = line_dedup.line_simhashes(lines).view(np.uint64)
-    for words, (high, low) in zip(lines, got.tolist()):
-        hashes = [xxhash.xxh3_128_intdigest(w) for w in words]
-        assert high << 64 | low == sum(1 << bit for bit in range(128) if 2 * sum(h >> bit & 1 for h in hashes) > len(words))
+def test_lines_equal_words_by_hand():
+    texts = ["One two\n\nthree 42, four!", "", "  \n", "one TWO", None, "x" * 3000 + " y\nfour"]
+    for size in (1, 100, 1 << 20):
+        got = []
+        for first, x in line_dedup.pieces(texts):
+            got += [(first + t, k, int(n), int(key)) for t, k, n, key in zip(x.text, x.number, x.n, x.key)]
+        want = [(t, k, len(line_dedup.line_words(y))) for t, text in enumerate(texts) for k, y in enumerate((text or "").split("\n"))]
+        assert [g[:3] for g in got] == want
+        keys = {(t, k): key for t, k, _, key in got}
+        assert keys[0, 0] == keys[3, 0] and len(set(keys.values())) == 5
+        line_dedup.PIECE_BYTES = size
+    line_dedup.PIECE_BYTES = 1 << 20
+
+
+def test_edits_leave_a_token_and_parity_allows_the_pair():
+    """Random edits within the similarity: at least one token is common, and the parity never refuses."""
+    rng = np.random.default_rng(21)
+    counts = rng.choice([0, 1, 2, 5, 9, 30], line_dedup.SLOTS).astype(np.uint8)
+    for _ in range(3000):
+        n = int(rng.integers(3, 60))
+        words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in rng.integers(0, rng.choice([3, 30, 500]) % 676 + 1, n)]
+        other = list(words)
+        for _ in range(int(rng.integers(0, n // 4 + 2))):
+            at, kind = int(rng.integers(0, len(other) + 1)), rng.integers(3)
+            other[at : at + (kind != 0)] = [] if kind == 1 else [f"e{chr(97 + rng.integers(26))}"]
+        a, b = [w.encode() for w in words], [w.encode() for w in other]
+        if not 0.8 <= line_dedup.edit_similarity(a, b) < 1:
+            continue
+        both = line_dedup.Lines([b"\n".join([b" ".join(a), b" ".join(b)])])
+        line, token = line_dedup.tokens(both, np.arange(2), counts, 0.8)
+        assert set(token[line == 0].tolist()) & set(token[line == 1].tolist())
+        s0, s1 = line_dedup.parity(both, np.arange(2))
+        bits = np.array([int(s0[0] ^ s0[1]).bit_count() + int(s1[0] ^ s1[1]).bit_count()])
+        assert line_dedup.may_be_similar(both.n[:1], both.n[1:], bits, 0.8).all()
 
 
 def line_groups(spark, lines):
@@ -271,8 +296,9 @@ def test_fuzzy_lines_find_all_edited_pairs(spark):
 
 
 def test_fuzzy_lines_of_equal_words_and_large_groups(spark, monkeypatch):
-    """Lines of equal words in other orders share a fingerprint; the pair that passes is found among those that fail,
+    """Lines of equal words in other orders have equal parity; the pair that passes is found among those that fail,
     also in words of more lines than a block."""
+    monkeypatch.setattr(line_dedup, "SMALL_GROUP", 6)
     monkeypatch.setattr(line_dedup, "BLOCK", 40)
     monkeypatch.setattr(line_dedup, "TRIES", 1)
     rng = np.random.default_rng(12)
@@ -347,3 +373,39 @@ def test_plan_does_not_grow_with_the_pieces():
             for n in x.lengths:
                 used[n] += x.times
         assert used == {n: c * times for n, c in small.items()}
+
+
+def test_repeated_ids_with_other_texts_keep_their_own(spark):
+    docs = spark.createDataFrame(
+        [(1, "alpha beta gamma delta one"), (2, "alpha beta gamma delta one"), (2, "a wholly different unique line here"), (2, None)], "doc_id long, text string"
+    )
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).where("text is not null").collect())
+    assert got == [(1, "alpha beta gamma delta one"), (2, ""), (2, "a wholly different unique line here")]
+
+
+@pytest.mark.parametrize("sf, first", [("sf0.001", 10_000), ("sf0.01", 60)])
+def test_fuzzy_lines_of_documents_equal_brute_force(spark, sf, first):
+    """Every line of the given documents against every other of similar length, by edit distance."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").where(F.col("doc_id") < first).select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["text"] is not None]
+    lines = [(i, k, line_dedup.line_words(x)) for i, t in sorted(rows) for k, x in enumerate(t.split("\n"))]
+    lines = [x for x in lines if len(x[2]) >= 3]
+    keys = {}
+    for i, k, words in lines:
+        keys.setdefault(tuple(words), []).append((i, k))
+    every = sorted(keys, key=len)
+    bags = [set(w) for w in every]
+    edges = []
+    for a, x in enumerate(every):
+        for b in range(a + 1, len(every)):
+            if len(every[b]) * 0.8 > len(x) + 1e-9:
+                break
+            if 2 * len(bags[a] & bags[b]) >= len(bags[a]) * 0.5 and line_dedup.edit_similarity(list(x), list(every[b])) >= 0.8:
+                edges.append((a, b))
+    root = reachable(range(len(every)), edges)
+    groups = defaultdict(list)
+    for k, w in enumerate(every):
+        groups[root[k]] += keys[w]
+    want = {place for g in groups.values() for place in g if place != min(g)}
+    found = line_dedup.repeated_lines(docs).collect()
+    assert {(r["doc_id"], k) for r in found for k, drop in enumerate(r["drop"]) if drop} == want and want
