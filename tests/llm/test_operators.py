@@ -264,9 +264,30 @@ def test_edits_leave_a_token_and_parity_allows_the_pair():
         both = line_dedup.Lines([b"\n".join([b" ".join(a), b" ".join(b)])])
         line, token = line_dedup.tokens(both, np.arange(2), counts, 0.8)
         assert set(token[line == 0].tolist()) & set(token[line == 1].tolist())
-        s0, s1 = line_dedup.parity(both, np.arange(2))
-        bits = np.array([int(s0[0] ^ s0[1]).bit_count() + int(s1[0] ^ s1[1]).bit_count()])
-        assert line_dedup.may_be_similar(both.n[:1], both.n[1:], bits, 0.8).all()
+        flat = line_dedup.packed_parity(line_dedup.parity(both, np.arange(2)), both.n)
+        signs = line_dedup.Signs(both.n, flat, line_dedup._starts(line_dedup.longs(both.n)), 0.8)
+        assert len(signs.alike(np.array([0]), np.array([1]))[0]) == 1
+
+
+def test_edit_distances_equal_full_table():
+    rng = np.random.default_rng(31)
+    for most in (5, 64, 65, 130, 256, 300):
+        a = [rng.integers(0, 12, rng.integers(1, most + 1)).astype(np.uint32) for _ in range(60)]
+        b = []
+        for x in a:
+            y = x.tolist()
+            for _ in range(int(rng.integers(0, len(y) // 4 + 2))):
+                at, kind = int(rng.integers(0, len(y) + 1)), rng.integers(3)
+                y[at : at + int(kind != 0)] = [] if kind == 1 else [int(rng.integers(0, 12))]
+            b.append(np.array(y or [1], np.uint32)[:most])
+        want = []
+        for x, y in zip(a, b):
+            row = np.arange(len(y) + 1)
+            for i, v in enumerate(x, 1):
+                new = np.minimum(row + 1, np.r_[i, row[:-1] + (y != v)])
+                row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+            want.append(row[-1] <= int(0.2 * max(len(x), len(y)) + 1e-9))
+        assert line_dedup.similar_lines(a, b, 0.8).tolist() == want and 0 < sum(want) < 60
 
 
 def line_groups(spark, lines):
