@@ -8,6 +8,7 @@ _MD5 = " || ".join(f"md5(doc_id::varchar || '{x}')" for x in "abcdefgh")
 SEQS = f"seqs as (select doc_id as seq_idx, translate({_MD5}, '0123456789abcdef', 'ACGTACGTACGTACGT') as s from documents)"
 _GC = "(len(s) - len(translate(s, 'GC', '')))::double / len(s)"
 ORACLES: dict[str, str] = {}
+_SEQS_BASE = SEQS
 
 
 def _motifs(rows) -> str:

@@ -2,45 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.catalog.base import NUMBERS, PART, QUERIES, load, query, r6, reference, seqs  # noqa: F401
 from helixframe.functions import protein as P
 from helixframe.functions import sequence as S
 from helixframe.ml import models as M
 from helixframe.operators import metrics, prep, profile, relational, scans
 
-QUERIES: dict = {}
-#: Sequences derived from documents: so many salted digests of 32 bases each.
-SALTS = "abcdefgh"
-NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-PART = ["p_size", "p_retailprice"]
-
-
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq_idx, sequence: 256 bases for each document id, the same in every engine."""
-    salted = [F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(x))) for x in SALTS]
-    bases = F.translate(F.concat(*salted), "0123456789abcdef", "ACGTACGTACGTACGT")
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_idx"), bases.alias("sequence"))
-
-
-def reference(s: DataFrame) -> DataFrame:
-    return s.agg(F.min_by("sequence", "seq_idx").alias("reference"))
-
-
-def r6(c, name: str):
-    return F.round(c, 6).alias(name)
-
-
 @query
 def motif_counts(spark, d):
     hits = scans.motif_hits(seqs(spark, d))
@@ -191,7 +160,7 @@ def reverse_complements(spark, d):
 
 @query
 def six_frame_proteins(spark, d):
-    return scans.six_frame_proteins(seqs(spark, d))
+    return scans.six_frame_proteins(seqs(spark, d)).drop("n")
 
 
 @query

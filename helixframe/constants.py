@@ -64,3 +64,28 @@ RESIDUE_WEIGHTS = {
     "A": 89, "C": 121, "D": 133, "E": 147, "F": 165, "G": 75, "H": 155, "I": 131, "K": 146, "L": 131,
     "M": 149, "N": 132, "P": 115, "Q": 146, "R": 174, "S": 105, "T": 119, "V": 117, "W": 204, "Y": 181,
 }
+
+# Average masses of the residues as free amino acids, and of water.
+RESIDUE_MASSES = {
+    "A": 89.0932, "C": 121.1582, "D": 133.1027, "E": 147.1293, "F": 165.1891, "G": 75.0666, "H": 155.1546, "I": 131.1729, "K": 146.1876, "L": 131.1729,
+    "M": 149.2113, "N": 132.1179, "P": 115.1305, "Q": 146.1445, "R": 174.201, "S": 105.0926, "T": 119.1192, "V": 117.1463, "W": 204.2252, "Y": 181.1885,
+}
+WATER_MASS = 18.0153
+
+# pK values of side chains and ends (Bjellqvist), ends by residue where they differ, and the bounds of the search.
+POSITIVE_PK = {"K": 10.0, "R": 12.0, "H": 5.98}
+NEGATIVE_PK = {"D": 4.05, "E": 4.45, "C": 9.0, "Y": 10.0}
+N_END_PK, C_END_PK = 7.5, 3.55
+N_END_PK_OF = {"A": 7.59, "M": 7.0, "S": 6.93, "P": 8.36, "T": 6.82, "V": 7.44, "E": 7.7}
+C_END_PK_OF = {"D": 4.55, "E": 4.75}
+PH_START, PH_LOW, PH_HIGH = 7.775, 4.05, 12.0
+
+# Literals that the scores of pathogens and drug targets look for.
+VIRULENCE_WORDS = ("TTSS", "INVASIN", "TOXIN", "ADHESIN")
+RESISTANCE_WORDS = ("BLACTAM", "AMINOGLY", "TETRACYC", "VANCOMYC")
+PHYLOGENETIC_WORDS = ("ACCTGGTTGATCCTGCCAG", "TTGACA", "TATAAT")
+HOST_WORDS = ("RGD", "NPXY", "YXXL")
+BINDING_WORDS = ("ATP", "GTP", "NAD", "FAD", "KINASE", "DOMAIN")
+
+FEATURE_PAIRS = ("AT", "TA", "CG", "GC")
+AMBIGUOUS_BASES, AMBIGUOUS_RESIDUES = "NRYSWKMBDHV", "XBZJ"

@@ -39,3 +39,57 @@ def druggability(p: Column, has_site: Column) -> Column:
     parts = F.least(share(p, "AILMFWYV") * 1.5, one) * F.least(share(p, "DEKR") * 2, one) * F.least(share(p, "STNQ") * 2, one)
     score = (parts + F.size(F.array_distinct(letters(p))) / 20) / 2
     return F.when(F.length(p) == 0, F.lit(0.0)).when(has_site, F.least(score + 0.2, one)).otherwise(score)
+
+
+def residue_frequencies(p: Column) -> Column:
+    """The shares of the 20 residues, in alphabetical order; zeros for an empty protein."""
+    return F.array(*[share(p, x) for x in C.AMINO])
+
+
+def binding_potential(p: Column) -> Column:
+    """Share of the binding words that occur, and share of aromatic and branched residues; 0 for an empty protein."""
+    words = reduce(lambda a, b: a + b, [F.contains(p, F.lit(w)).cast("int") for w in C.BINDING_WORDS])
+    return F.when(F.length(p) == 0, F.lit(0.0)).otherwise(words / len(C.BINDING_WORDS) + share(p, "FWYILV"))
+
+
+def gene_function(p: Column) -> Column:
+    """struct(enzyme_type, domain_family, confidence) by words and the share of cysteine."""
+    has = lambda *ws: reduce(lambda a, b: a | b, [F.contains(p, F.lit(w)) for w in ws])
+    kinase, receptor, zinc = has("CATALYTIC", "KINASE"), has("BINDING", "RECEPTOR"), count_of(p, "C") > F.length(p) * 0.1
+    return F.struct(
+        F.when(kinase, "kinase").when(receptor, "receptor").otherwise("unknown").alias("enzyme_type"),
+        F.when(~kinase & ~receptor & zinc, "zinc_finger").otherwise("unknown").alias("domain_family"),
+        F.when(kinase, 0.8).when(receptor, 0.7).when(zinc, 0.6).otherwise(0.0).alias("confidence"),
+    )
+
+
+def is_standard(p: Column) -> Column:
+    return (F.length(p) > 0) & p.rlike(f"^[{C.AMINO}]+$")
+
+
+def molecular_weight(p: Column) -> Column:
+    """Average mass of the chain; 0 unless all residues are among the 20."""
+    return F.when(is_standard(p), weighted(p, C.RESIDUE_MASSES) - C.WATER_MASS * (F.length(p) - 1)).otherwise(0.0)
+
+
+def isoelectric_point(p: Column) -> Column:
+    """The pH of no net charge, by halving the interval until it is at most 1e-4 wide; 7 unless all residues are among the 20."""
+    n_end = F.coalesce(*[F.when(p.startswith(k), v) for k, v in C.N_END_PK_OF.items()], F.lit(C.N_END_PK))
+    c_end = F.coalesce(*[F.when(p.endswith(k), v) for k, v in C.C_END_PK_OF.items()], F.lit(C.C_END_PK))
+
+    def charge(ph: Column) -> Column:
+        plus = [(count_of(p, k), F.lit(v)) for k, v in C.POSITIVE_PK.items()] + [(F.lit(1), n_end)]
+        minus = [(count_of(p, k), F.lit(v)) for k, v in C.NEGATIVE_PK.items()] + [(F.lit(1), c_end)]
+        up = [n / (F.pow(F.lit(10.0), ph - pk) + 1) for n, pk in plus]
+        down = [n / (F.pow(F.lit(10.0), pk - ph) + 1) for n, pk in minus]
+        return reduce(lambda a, b: a + b, up) - reduce(lambda a, b: a + b, down)
+
+    def halve(state: Column, _: Column) -> Column:
+        ph, low, high = state["ph"], state["low"], state["high"]
+        up = charge(ph) > 0
+        low, high = F.when(up, ph).otherwise(low), F.when(up, high).otherwise(ph)
+        wide = (state["high"] - state["low"]) > 0.0001
+        return F.when(wide, F.struct(((low + high) / 2).alias("ph"), low.alias("low"), high.alias("high"))).otherwise(state)
+
+    start = F.struct(F.lit(C.PH_START).alias("ph"), F.lit(C.PH_LOW).alias("low"), F.lit(C.PH_HIGH).alias("high"))
+    return F.when(is_standard(p), F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, halve)["ph"]).otherwise(7.0)

@@ -44,11 +44,7 @@ def reverse_complement(s: Column) -> Column:
 
 def translate_from(s: Column) -> Column:
     """Residues of the codons from the start; * for stops, X for unknown codons; a partial codon is dropped."""
-    codons = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.length(s) / 3 - 1, F.lit(0)).cast("int")), lambda i: F.substring(s, i * 3 + 1, F.lit(3))
-    )
-    full = F.filter(codons, lambda c: F.length(c) == 3)
-    return F.array_join(F.transform(full, residue), "")
+    return F.array_join(F.transform(frame_codons(s), residue), "")
 
 
 def residue(codon: Column) -> Column:
@@ -79,11 +75,17 @@ def melting(s: Column) -> Column:
     return ratio(gc * 4 + (F.length(s) - gc) * 2, F.length(s)) / 100
 
 
+def shifted_matches(s: Column, size: int, shift: int) -> Column:
+    """At how many places the ``size`` letters equal those ``shift`` places on, in one pass over the letters."""
+    x = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
+    n = F.greatest(F.size(x) - shift, F.lit(0))
+    return F.size(F.filter(F.zip_with(F.slice(x, 1, n), F.slice(x, 1 + shift, n), lambda a, b: a == b), lambda same: same))
+
+
 def repeat_score(s: Column) -> Column:
     """Twice the share of positions whose two letters are repeated by the next two, at most 1."""
     n = F.length(s)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)) == F.substring(s, i + 2, F.lit(2)))
-    return F.when(n < 6, F.lit(0.0)).otherwise(F.least(F.size(at) * 2 / F.greatest(n, F.lit(1)), F.lit(1.0)))
+    return F.when(n < 6, F.lit(0.0)).otherwise(F.least(shifted_matches(s, 2, 2) * 2 / F.greatest(n, F.lit(1)), F.lit(1.0)))
 
 
 def cpg_score(s: Column) -> Column:
@@ -98,17 +100,15 @@ def periodicity(s: Column) -> Column:
     n = F.length(s)
 
     def match(d: int) -> Column:
-        same = F.filter(F.sequence(F.lit(1), F.greatest(n - d, F.lit(1))), lambda i: F.substring(s, i, F.lit(1)) == F.substring(s, i + d, F.lit(1)))
         use = F.floor(n / 2) - 1 >= d
-        return F.when(use, F.size(same) / F.greatest(n - d, F.lit(1))).otherwise(F.lit(0.0))
+        return F.when(use, shifted_matches(s, 1, d) / F.greatest(n - d, F.lit(1))).otherwise(F.lit(0.0))
 
     return F.when(n < 6, F.lit(0.0)).otherwise(F.greatest(*[match(d) for d in (1, 2, 3)]))
 
 
 def codons(s: Column) -> Column:
     """The known codons from the start."""
-    every = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(s) / 3).cast("int") - 1, F.lit(0))), lambda i: F.substring(s, i * 3 + 1, F.lit(3)))
-    return F.filter(every, lambda c: c.rlike("^[ACGT]{3}$"))
+    return F.filter(frame_codons(s), lambda c: c.rlike("^[ACGT]{3}$"))
 
 
 def coding_potential(s: Column) -> Column:
@@ -160,3 +160,85 @@ def header_label(header: Column, strict: bool = False) -> Column:
 def pad(s: Column, n: int) -> Column:
     """Cut to n letters or fill up: with N if all letters are nucleotides, else with X."""
     return F.when(F.upper(s).rlike("^[ACGTUN]*$"), F.rpad(s, n, "N")).otherwise(F.rpad(s, n, "X"))
+
+
+def client_type(s: Column) -> Column:
+    """DNA or RNA if all letters (four kinds at most) are of that alphabet, PROTEIN otherwise; empty counts as DNA."""
+    u = F.upper(s)
+    return F.when(u.rlike("^[ATCG]*$"), "DNA").when(u.rlike("^[AUCG]*$"), "RNA").otherwise("PROTEIN")
+
+
+def frame_codons(s: Column, offset: int = 0) -> Column:
+    """All whole codons from ``offset`` on, cut out in one pass."""
+    return F.regexp_extract_all(F.substring(s, offset + 1, 1 << 30), F.lit("(?s)(...)"), F.lit(1))
+
+
+def inframe_orfs(s: Column) -> Column:
+    """struct(longest, orfs) over the three forward frames: from an ATG to the next stop in frame, not nested."""
+
+    def step(state: Column, codon: Column) -> Column:
+        stop, start = codon.isin(*C.STOPS), codon == "ATG"
+        at, open_at = state["at"], state["open"]
+        closes = (open_at >= 0) & stop
+        return F.struct(
+            (at + 3).alias("at"), F.when(closes, -1).when((open_at < 0) & start, at).otherwise(open_at).alias("open"),
+            F.when(closes, F.greatest(state["longest"], at - open_at + 3)).otherwise(state["longest"]).alias("longest"),
+            (state["orfs"] + closes.cast("int")).alias("orfs"),
+        )
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("open"), F.lit(0).alias("longest"), F.lit(0).alias("orfs"))
+    frames = [F.aggregate(frame_codons(s, k), zero, step) for k in range(3)]
+    return F.struct(F.greatest(*[f["longest"] for f in frames]).alias("longest"), (frames[0]["orfs"] + frames[1]["orfs"] + frames[2]["orfs"]).alias("orfs"))
+
+
+def codon_bias(s: Column) -> Column:
+    """Twice the share of the most frequent known codon, at most 1; 0 unless the length is a multiple of 3."""
+    known = F.filter(frame_codons(s), lambda c: c.rlike("^[ACGT]{3}$"))
+    kinds = F.array_distinct(known)
+    most = F.array_max(F.transform(kinds, lambda c: F.size(F.filter(known, lambda x: x == c))))
+    return F.when((F.length(s) % 3 == 0) & (F.size(known) > 0), F.least(most * 2 / F.greatest(F.size(known), F.lit(1)), F.lit(1.0))).otherwise(0.0)
+
+
+def translate_to_stop(s: Column) -> Column:
+    """Residues of the known codons up to the first stop; unknown codons are left out; U counts as T."""
+    known = F.filter(frame_codons(F.replace(F.upper(s), F.lit("U"), F.lit("T"))), lambda c: c.rlike("^[ACGT]{3}$"))
+    return F.substring_index(F.array_join(F.transform(known, residue), ""), "*", 1)
+
+
+def _present(s: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a + b, [F.contains(s, F.lit(w)).cast("int") for w in words])
+
+
+def virulence(s: Column) -> Column:
+    return _present(s, C.VIRULENCE_WORDS) / len(C.VIRULENCE_WORDS)
+
+
+def resistance(s: Column) -> Column:
+    return _present(s, C.RESISTANCE_WORDS) / len(C.RESISTANCE_WORDS)
+
+
+def _counted(s: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a + b, [occurrences(s, w) for w in words])
+
+
+def phylogenetic_markers(s: Column) -> Column:
+    return F.least(_counted(s, C.PHYLOGENETIC_WORDS) / 10, F.lit(1.0))
+
+
+def host_interaction(s: Column) -> Column:
+    return F.least(_counted(s, C.HOST_WORDS) / 5, F.lit(1.0))
+
+
+def quality_issues(s: Column) -> Column:
+    """The issues of a nucleotide sequence as text: ambiguous letters, gaps, other letters, shortness."""
+    u = F.upper(s)
+    ambiguous, gaps = count_of(u, C.AMBIGUOUS_BASES), count_of(u, "-")
+    other = F.length(F.translate(u, C.DNA + C.AMBIGUOUS_BASES + "-", ""))
+    return F.array_compact(
+        F.array(
+            F.when(ambiguous > 0, F.concat(F.lit("Contains "), ambiguous, F.lit(" ambiguous bases"))),
+            F.when(gaps > 0, F.concat(F.lit("Contains "), gaps, F.lit(" gaps"))),
+            F.when(other > 0, F.concat(F.lit("Contains "), other, F.lit(" invalid characters"))),
+            F.when(F.length(s) < 50, F.concat(F.lit("Very short sequence ("), F.length(s), F.lit(" bp)"))),
+        )
+    )

@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe import constants as C
 from helixframe.functions import protein as P
 from helixframe.functions import sequence as S
 
 
-def hit_positions(s: str, pattern: str, length: int) -> Column:
-    """Zero-based starts of the non-overlapping hits of a pattern of fixed length."""
-    pieces = f"split({s}, '{pattern}', -1)"
-    start = f"aggregate(slice(p, 1, j), 0, (a, x) -> a + length(x)) + (j - 1) * {length}"
-    return F.expr(
-        f"transform(array({pieces}), p -> if(size(p) = 1, cast(array() as array<int>), transform(sequence(1, size(p) - 1), j -> {start})))[0]"
-    )
-
-
 def motif_hits(seqs: DataFrame, motifs: tuple = C.MOTIFS, upper: bool = True) -> DataFrame:
-    """seq_idx, family, motif, position, score for every motif of the table; families share one pass."""
+    """seq_idx, s, family, motif, score, position for every non-overlapping hit of the table's patterns, from 0.
+
+    Positions of hits need a scan that carries its place; with SQL functions it is quadratic in the
+    hits, so the patterns run over Arrow batches, each linear in the sequence.
+    """
+    compiled = [(f, n, float(score), re.compile(p)) for f, n, p, _, score in motifs]
     rows = seqs.select("seq_idx", (F.upper("sequence") if upper else F.col("sequence")).alias("s"))
-    found = F.array(
-        *[
-            F.struct(F.lit(f).alias("family"), F.lit(n).alias("motif"), F.lit(score).alias("score"), hit_positions("s", p, m).alias("at"))
-            for f, n, p, m, score in motifs
-        ]
-    )
-    hits = rows.select("seq_idx", "s", F.explode(found).alias("h"))
-    return hits.select("seq_idx", "s", "h.family", "h.motif", "h.score", F.explode("h.at").alias("position"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at, which, position = [], [], []
+            for i, s in enumerate(batch["s"]):
+                for k, (_, _, _, pattern) in enumerate(compiled if s else ()):
+                    found = [m.start() for m in pattern.finditer(s)]
+                    at += [i] * len(found)
+                    which += [k] * len(found)
+                    position += found
+            names = [np.array([c[j] for c in compiled], object)[which] if which else [] for j in range(2)]
+            score = np.array([c[2] for c in compiled])[which] if which else []
+            hit = batch.iloc[at]
+            yield pd.DataFrame({"seq_idx": hit["seq_idx"].to_numpy(), "s": hit["s"].to_numpy(), "family": names[0], "motif": names[1], "score": score, "position": position})
+
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string("family string, motif string, score double, position int").fields])
+    return rows.mapInPandas(scan, schema)
 
 
 def promoters(seqs: DataFrame) -> DataFrame:
@@ -43,37 +54,69 @@ def promoters(seqs: DataFrame) -> DataFrame:
 
 
 def cpg_islands(seqs: DataFrame, width: int = 200, step: int = 50) -> DataFrame:
-    """Windows with over half G and C and over 0.6 percent CpG; windows are not merged."""
-    n = F.length("sequence")
-    starts = F.when(n > width, F.sequence(F.lit(0), n - width - 1, F.lit(step)))
-    w = seqs.select("seq_idx", F.upper("sequence").alias("sequence")).select("seq_idx", "sequence", F.explode(starts).alias("start"))
-    part = F.substring(F.col("sequence"), F.col("start") + 1, F.lit(width))
+    """Windows with over half G and C and over 0.6 percent CpG; windows are not merged. ``width`` is a multiple of ``step``."""
+    n, many = F.length("sequence"), width // step
+    starts = F.when(n > width, F.sequence(F.lit(0), F.floor((n - width - 1) / step).cast("int")))
+    cut = F.regexp_extract_all("sequence", F.lit(f"(?s)(.{{{step}}})"), F.lit(1))
+    w = seqs.select("seq_idx", F.upper("sequence").alias("sequence")).select("seq_idx", cut.alias("cut"), F.explode(starts).alias("k"))
+    w = w.select("seq_idx", (F.col("k") * step).alias("start"), F.array_join(F.slice("cut", F.col("k") + 1, many), "").alias("part"))
+    part = F.col("part")
     w = w.select("seq_idx", "start", (S.count_of(part, "CG") / width).alias("gc"), (S.occurrences(part, "CG") * 100 / width).alias("cpg"))
     return w.where("gc > 0.5 and cpg > 0.6").select(
         "seq_idx", "start", (F.col("start") + width).alias("end"), "gc", "cpg", F.least(F.col("cpg") / 2, F.lit(1.0)).alias("methylation")
     )
 
 
+def _orf_places(s: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (from 0) and ends (exclusive) of all ORFs of a sequence: each ATG with the next stop in its frame."""
+    x = np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
+    if len(x) < 6:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = x[:-2].astype(np.int32) << 16 | x[1:-1].astype(np.int32) << 8 | x[2:]
+    number = lambda w: int.from_bytes(w.encode(), "big")
+    start = np.flatnonzero(code == number("ATG"))
+    stop = np.flatnonzero(np.isin(code, [number(w) for w in C.STOPS]))
+    end = np.full(len(start), -1)
+    for frame in range(3):
+        mine, stops = np.flatnonzero(start % 3 == frame), stop[stop % 3 == frame]
+        at = np.searchsorted(stops, start[mine])
+        some = at < len(stops)
+        end[mine[some]] = stops[at[some]] + 3
+    return start[end >= 0], end[end >= 0]
+
+
 def orfs(seqs: DataFrame, column: str = "sequence") -> DataFrame:
-    """Every ATG at any offset with its first stop in frame; input columns stay. start from 0, end exclusive."""
-    s = column
-    stop = f"array_min(filter(sequence(1, greatest((length({s}) - st - 2) div 3, 1)), k -> substr({s}, st + 3 * k, 3) in ('TAA', 'TAG', 'TGA')))"
-    starts = F.expr(f"filter(sequence(1, greatest(length({s}) - 2, 1)), i -> substr({s}, i, 3) = 'ATG')")
-    out = seqs.withColumn("st", F.explode(starts)).withColumn("k", F.expr(stop)).where("k is not null")
-    return out.select(
-        *seqs.columns, (F.col("st") - 1).alias("start"), (F.col("st") + 3 * F.col("k") + 2).alias("end"), (3 * F.col("k") + 3).alias("orf_length"),
-        F.expr(f"substr({s}, st, 3 * k + 3)").alias("orf"),
-    )
+    """Every ATG at any offset with its first stop in frame; input columns stay. start from 0, end exclusive.
+
+    The next stop of each frame is found by a sorted search over Arrow batches: with SQL functions
+    it takes a walk from every ATG, which is quadratic in long sequences.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_orf_places(s) if s else ((), ()) for s in batch[column]]
+            many = np.array([len(f[0]) for f in found], np.int64)
+            at = np.repeat(np.arange(len(batch)), many)
+            out = batch.iloc[at].copy()
+            text = batch[column].tolist()
+            out["start"] = np.concatenate([np.asarray(f[0], np.int64) for f in found]) if len(found) else []
+            out["end"] = np.concatenate([np.asarray(f[1], np.int64) for f in found]) if len(found) else []
+            out["orf_length"] = out["end"] - out["start"]
+            out["orf"] = [text[i][a:b] for i, a, b in zip(at, out["start"], out["end"])]
+            yield out
+
+    schema = T.StructType([*seqs.schema.fields, *T._parse_datatype_string("start int, end int, orf_length int, orf string").fields])
+    return seqs.mapInPandas(scan, schema)
 
 
 def frames(seqs: DataFrame) -> DataFrame:
-    """seq_idx, frame (1 to 3, -1 to -3), strand: the sequence or its reverse complement from each offset."""
+    """seq_idx, n (its length), frame (1 to 3, -1 to -3), strand: the sequence or its reverse complement from each offset."""
     s = F.replace(F.upper("sequence"), F.lit("U"), F.lit("T"))
-    both = seqs.select("seq_idx", s.alias("s")).withColumn("r", S.reverse_complement(F.col("s")))
+    both = seqs.select("seq_idx", F.length("sequence").alias("n"), s.alias("s")).withColumn("r", S.reverse_complement(F.col("s")))
     six = F.array(
         *[F.struct(F.lit(sign * (k + 1)).alias("frame"), F.expr(f"substr({c}, {k + 1})").alias("strand")) for sign, c in ((1, "s"), (-1, "r")) for k in range(3)]
     )
-    return both.select("seq_idx", F.explode(six).alias("x")).select("seq_idx", "x.frame", "x.strand")
+    return both.select("seq_idx", "n", F.explode(six).alias("x")).select("seq_idx", "n", "x.frame", "x.strand")
 
 
 def adaptive_minimum(seqs: DataFrame, min_length: int = 300) -> DataFrame:
@@ -91,18 +134,17 @@ def genes(seqs: DataFrame, min_length: int = 300) -> DataFrame:
 
 
 def six_frame_proteins(seqs: DataFrame) -> DataFrame:
-    return frames(seqs).select("seq_idx", "frame", S.translate_from(F.col("strand")).alias("protein"))
+    return frames(seqs).select("seq_idx", "n", "frame", S.translate_from(F.col("strand")).alias("protein"))
 
 
 def snvs(seqs: DataFrame, reference: DataFrame) -> DataFrame:
     """Mismatches to the one reference sequence (column reference), place by place."""
     both = seqs.crossJoin(F.broadcast(reference.select("reference").limit(1)))
     n = F.least(F.length("sequence"), F.length("reference"))
-    at = F.expr("filter(sequence(1, n), i -> substr(sequence, i, 1) <> substr(reference, i, 1))")
-    hits = both.withColumn("n", n).where("n > 0").select("seq_idx", "sequence", "reference", F.explode(at).alias("i"))
-    return hits.select(
-        "seq_idx", (F.col("i") - 1).alias("position"), F.expr("substr(reference, i, 1)").alias("ref"), F.expr("substr(sequence, i, 1)").alias("alt")
-    )
+    first = lambda c: F.slice(S.letters(F.col(c)), 1, n)
+    pairs = F.zip_with(first("sequence"), first("reference"), lambda a, r: F.when(a != r, F.struct(r.alias("ref"), a.alias("alt"))))
+    hits = both.select("seq_idx", F.posexplode(pairs).alias("position", "x")).where("x is not null")
+    return hits.select("seq_idx", "position", "x.ref", "x.alt")
 
 
 def tail_indels(seqs: DataFrame, reference: DataFrame) -> DataFrame:
@@ -140,7 +182,7 @@ def viral_signatures(seqs: DataFrame) -> DataFrame:
 
 def resistance_genes(seqs: DataFrame) -> DataFrame:
     """Protein literals in six frames; in short sequences also an S and a K within ten residues of each other."""
-    rows = six_frame_proteins(seqs).join(seqs.select("seq_idx", F.length("sequence").alias("n")), "seq_idx")
+    rows = six_frame_proteins(seqs)
     p = F.col("protein")
     s, k = F.instr(p, "S"), F.instr(p, "K")
     near = F.when(
@@ -164,7 +206,7 @@ def _sites(small: Column) -> Column:
 
 def drug_proteins(seqs: DataFrame) -> DataFrame:
     """Proteins of six frames that are long enough, with their sites and druggability."""
-    rows = six_frame_proteins(seqs).join(seqs.select("seq_idx", F.length("sequence").alias("n")), "seq_idx")
+    rows = six_frame_proteins(seqs)
     rows = rows.where(F.length("protein") > F.when(F.col("n") < 500, 20).otherwise(50)).withColumn("sites", _sites(F.col("n") < 500))
     score = P.druggability(F.col("protein"), F.size("sites") > 0)
     return rows.withColumn("score", score).withColumn("druggable", F.col("score") > F.when(F.col("n") < 500, 0.4).otherwise(0.7))
@@ -180,12 +222,11 @@ def top_targets(seqs: DataFrame, many: int = 5) -> DataFrame:
     return d.orderBy(F.desc("score"), "seq_idx", F.desc("frame")).limit(many).select("seq_idx", "frame", "score")
 
 
-def kmers(seqs: DataFrame, k: int, keep: str = "^[ATCG]+$") -> DataFrame:
-    """seq_idx, kmer: every overlapping k-mer of known letters."""
-    n = F.length("s")
-    rows = seqs.select("seq_idx", F.upper("sequence").alias("s")).where(n >= k)
-    every = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("s"), i, F.lit(k)))
-    return rows.select("seq_idx", F.explode(every).alias("kmer")).where(F.col("kmer").rlike(keep))
+def kmers(seqs: DataFrame, k: int, keep: str = "^[ATCG]+$", upper: bool = True) -> DataFrame:
+    """The input columns but the sequence, and kmer: every overlapping k-mer of known letters, cut out in one pass."""
+    s = F.upper("sequence") if upper else F.col("sequence")
+    every = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
+    return seqs.select(*[c for c in seqs.columns if c != "sequence"], F.explode(every).alias("kmer")).where(F.col("kmer").rlike(keep))
 
 
 def kmer_frequencies(seqs: DataFrame, k: int) -> DataFrame:
@@ -195,21 +236,21 @@ def kmer_frequencies(seqs: DataFrame, k: int) -> DataFrame:
     return counts.select("seq_idx", "kmer", "count", (F.col("count") / total).alias("freq"))
 
 
-def top_kmers(seqs: DataFrame, sizes: tuple[int, ...], many: int) -> DataFrame:
+def top_kmers(seqs: DataFrame, sizes: tuple[int, ...], many: int, upper: bool = True) -> DataFrame:
     """The most frequent k-mers of each size, by k-mer on ties."""
     w = Window.partitionBy("k").orderBy(F.desc("count"), "kmer")
     out = None
     for k in sizes:
-        one = kmers(seqs, k).groupBy("kmer").count().select(F.lit(k).alias("k"), "kmer", "count")
+        one = kmers(seqs, k, upper=upper).groupBy("kmer").count().select(F.lit(k).alias("k"), "kmer", "count")
         out = one if out is None else out.unionByName(one)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= many)
 
 
 def discriminative_kmers(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), fold: float = 2.0) -> DataFrame:
-    """k-mers over ``fold`` times as frequent in a label's sequences as in the rest (columns also: label)."""
+    """k-mers over ``fold`` times as frequent in a label's sequences as in the rest (columns also: label); case counts."""
     out = None
     for k in sizes:
-        c = kmers(labelled, k).join(labelled.select("seq_idx", "label"), "seq_idx").groupBy("label", "kmer").count()
+        c = kmers(labelled.select("label", "sequence"), k, upper=False).groupBy("label", "kmer").count()
         c = c.withColumn("k", F.lit(k))
         out = c if out is None else out.unionByName(c)
     own, every = Window.partitionBy("k", "label"), Window.partitionBy("k")
@@ -224,6 +265,6 @@ def discriminative_kmers(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4, 5)
 def conserved_motifs(seqs: DataFrame, sizes: tuple[int, ...] = (6, 7, 8), least: float = 0.1) -> DataFrame:
     total = seqs.agg(*[F.sum(F.greatest(F.length("sequence") - k + 1, F.lit(0))).alias(f"n{k}") for k in sizes])
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("n")) for k in sizes])).alias("x")
-    top = top_kmers(seqs, sizes, 20).join(F.broadcast(total.select(pairs).select("x.*")), "k")
+    top = top_kmers(seqs, sizes, 20, upper=False).join(F.broadcast(total.select(pairs).select("x.*")), "k")
     freq = F.col("count") / F.col("n")
     return top.select("k", "kmer", "count", freq.alias("freq"), (freq * F.col("k")).alias("score")).where(F.col("freq") > least)

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from helixframe.catalog import oracles, registry
+from helixframe.catalog import everything
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -34,25 +34,25 @@ def shown(v):
         return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+@pytest.mark.parametrize("name", sorted(everything.ORACLES))
 def test_query_equals_its_sql(spark, tables, name):
-    got = registry.QUERIES[name](spark, str(DATA))
+    got = everything.QUERIES[name](spark, str(DATA))
     columns = sorted(got.columns)
-    want = tables.execute(oracles.ORACLES[name])
+    want = tables.execute(everything.ORACLES[name])
     order = [d[0] for d in want.description]
     assert sorted(order) == columns
     rows = sorted(tuple(map(shown, r)) for r in got.select(*columns).collect())
     assert rows == sorted(tuple(shown(r[order.index(c)]) for c in columns) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(oracles.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(everything.QUERIES) - set(everything.ORACLES)))
 def test_query_without_sql_gives_rows(spark, name):
-    assert registry.QUERIES[name](spark, str(DATA)).count() > 0
+    assert everything.QUERIES[name](spark, str(DATA)).count() > 0
 
 
 def test_entry_registers_everything(spark):
     import __spark_entry__ as e
 
-    assert set(registry.QUERIES) <= set(e.queries())
+    assert set(everything.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["family", "motif", "hits", "sequences"]
