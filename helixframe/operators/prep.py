@@ -7,11 +7,17 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators import profile
+
 
 def impute(df: DataFrame, columns: list[str], how: str) -> DataFrame:
     """Fill nulls by mean, exact median or mode (the lowest value on ties)."""
-    of = {"mean": lambda c: F.avg(c), "median": lambda c: F.percentile(c, 0.5), "mode": lambda c: F.mode(c, True)}[how]
-    stats = df.agg(*[of(c).alias(f"__{c}") for c in columns])
+    if how == "median":
+        found = profile.quantiles(profile.counted(df, columns), (0.5,))
+        stats = found.agg(*[F.max(F.when(F.col("column") == c, F.col("q50"))).alias(f"__{c}") for c in columns])
+    else:
+        of = {"mean": lambda c: F.avg(c), "mode": lambda c: F.mode(c, True)}[how]
+        stats = df.agg(*[of(c).alias(f"__{c}") for c in columns])
     out = df.crossJoin(F.broadcast(stats))
     for c in columns:
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"__{c}")))
@@ -94,10 +100,16 @@ def anova_f(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 
 
 def label_encode(df: DataFrame, column: str) -> DataFrame:
-    """The sorted distinct values numbered from 0, joined back, so no window over all rows is needed."""
+    """The sorted distinct values numbered from 0 in ``code``. Values are numbered within ranges, and the ranges by their
+    counts, so no task orders all values; the join is Spark's choice."""
     kinds = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = kinds.withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(F.broadcast(codes), column, "left")
+    kinds = kinds.repartitionByRange(column).sortWithinPartitions(column).withColumn("__part", F.spark_partition_id())
+    kinds = kinds.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
+    counts = kinds.groupBy("__part").agg((F.max("__at") + 1).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    codes = kinds.join(F.broadcast(counts.select("__part", before.alias("__before"))), "__part")
+    codes = codes.select(column, (F.col("__at") + F.col("__before")).alias("code"))
+    return df.join(codes, column, "left")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2) -> DataFrame:
@@ -118,3 +130,99 @@ def one_hot(df: DataFrame, column: str, width: int, alphabet: str = "ACGT") -> D
     base = integer_encode(df, column, width, alphabet)
     hot = F.flatten(F.transform("codes", lambda c: F.transform(F.sequence(F.lit(1), F.lit(len(alphabet))), lambda k: (k == c).cast("int"))))
     return base.withColumn("one_hot", hot).drop("codes")
+
+
+def drop_missing(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
+    """Rows without nulls, in the columns of ``subset`` if given."""
+    return df.na.drop(subset=subset)
+
+
+def impute_constant(df: DataFrame, columns: list[str], number: float = 0.0, text: str = "missing") -> DataFrame:
+    """Numbers become ``number``, texts ``text``."""
+    return df.na.fill(number, subset=columns).na.fill(text, subset=columns)
+
+
+def auto_clean(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
+    """Rows with a target and at least half of the features; medians and modes filled in; texts encoded by order."""
+    kinds = dict(df.dtypes)
+    least = -(-len(columns) // 2)
+    some = df.where(F.col(target).isNotNull()).na.drop(thresh=least, subset=columns)
+    numbers = [c for c in columns if kinds[c] != "string"]
+    texts = [c for c in columns if kinds[c] == "string"]
+    some = impute(some, numbers, "median") if numbers else some
+    some = impute(some, texts, "mode") if texts else some
+    for c in [*texts, *([target] if kinds[target] == "string" else [])]:
+        some = label_encode(some, c).drop(c).withColumnRenamed("code", c)
+    return some.select(*df.columns)
+
+
+def polynomial_degree(df: DataFrame, columns: list[str], degree: int = 2) -> DataFrame:
+    """All products of one to ``degree`` of the columns, as poly_a_b_..."""
+    out = {}
+    for k in range(1, degree + 1):
+        for names in combinations_with_replacement(columns, k):
+            value = F.col(names[0]).cast("double")
+            for c in names[1:]:
+                value = value * F.col(c).cast("double")
+            out["poly_" + "_".join(names)] = value
+    return df.withColumns(out)
+
+
+def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 10) -> DataFrame:
+    """feature, score in nats between each column, in equal-width bins, and the label."""
+    stats = df.agg(*[x for i, c in enumerate(columns) for x in (F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}"))])
+    rows = df.select(label, *columns).crossJoin(F.broadcast(stats))
+
+    def bin_of(i: int, c: str):
+        width = (F.col(f"hi{i}") - F.col(f"lo{i}")) / bins
+        return F.when(width == 0, 0).otherwise(F.least(F.floor((F.col(c) - F.col(f"lo{i}")) / F.when(width != 0, width)), F.lit(bins - 1))).cast("int")
+
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(i, c).alias("x")) for i, c in enumerate(columns)])).alias("c")
+    n = rows.select(F.col(label).alias("y"), cells).where("c.x is not null").groupBy("c.feature", "c.x", "y").agg(F.count("*").alias("n"))
+    over = lambda *by: F.sum("n").over(Window.partitionBy("feature", *by))
+    n = n.withColumns({"t": over(), "a": over("x"), "b": over("y")})
+    return n.groupBy("feature").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("score"))
+
+
+def select_best(df: DataFrame, columns: list[str], label: str, k: int, how: str = "f_score") -> DataFrame:
+    """``df`` with the k best of ``columns`` by F score or mutual information, and all other columns."""
+    scores = anova_f(df, columns, label).withColumnRenamed("f_score", "score") if how == "f_score" else mutual_information(df, columns, label)
+    best = [r["feature"] for r in scores.orderBy(F.desc("score"), "feature").limit(k).collect()]
+    return df.select(*[c for c in df.columns if c not in columns or c in best])
+
+
+def three_way_split(df: DataFrame, key: str, label: str, test: float = 0.2, validation: float = 0.1) -> DataFrame:
+    """Rows with ``part``: in each class, in order of the key's md5, test first, then the share of the rest that makes ``validation``, then train."""
+    w = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
+    n = F.count("*").over(Window.partitionBy(label))
+    rows = df.withColumns({"__k": F.row_number().over(w), "__t": F.ceil(n * test), "__n": n})
+    more = F.ceil((F.col("__n") - F.col("__t")) * (validation / (1 - test)))
+    part = F.when(F.col("__k") <= F.col("__t"), "test").when(F.col("__k") <= F.col("__t") + more, "validation").otherwise("train")
+    return rows.withColumn("part", part).drop("__k", "__t", "__n")
+
+
+#: Steps by the names that a pipeline's configuration uses.
+STEPS = {
+    "handle_missing_values": impute, "feature_scaling": scale, "outlier_removal": remove_outliers_iqr, "log_transform": log_transform,
+    "interaction_features": interactions, "polynomial_features": polynomial_degree, "drop_missing": drop_missing,
+}
+
+
+def run_steps(df: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
+    """The named steps in order; an unknown name raises an error."""
+    for name, options in steps:
+        if name not in STEPS:
+            raise ValueError(f"unknown step {name}")
+        df = df.transform(STEPS[name], **options)
+    return df
+
+
+def run_batch(tables: dict[str, DataFrame], steps: list[tuple[str, dict]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The steps over several tables: what they give by name, and the errors of the tables that they do not fit."""
+    done, failed = {}, {}
+    for name, df in tables.items():
+        try:
+            done[name] = run_steps(df, steps)
+        except Exception as e:  # what a table lacks is its result
+            failed[name] = str(e).splitlines()[0]
+    return done, failed

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,16 +27,51 @@ def long_form(df: DataFrame, stats: dict[str, dict[str, Column]], key: str = "co
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    def of(c: str) -> dict[str, Column]:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return {
-            "n": F.count(c), "missing": F.sum(F.col(c).isNull().cast("bigint")), "distinct": F.count_distinct(c),
-            "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c).cast("double"), "max": F.max(c).cast("double"),
-            "q25": q[0], "q50": q[1], "q75": q[2],
-        }
+def counted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, v, n): how often each column has each value, nulls counted as well. Everything that follows
+    from values and their counts is then taken from these rows."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")
+    return df.select(cells).select("x.*").groupBy("column", "v").agg(F.count("*").alias("n"))
+
+
+def quantiles(values: DataFrame, points: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """column and the exact interpolated quantiles q25, ... of ``counted`` rows.
+
+    Ranks come from running sums in two steps: within ranges of values, and over the few ranges, so no
+    task orders all values of a column.
+    """
+    known = values.where("v is not null")
+    bounds = known.groupBy("column").agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 2000).alias("cuts"), F.sum("n").alias("total"))
+    placed = known.join(F.broadcast(bounds), "column")
+    placed = placed.select("column", "v", "n", "total", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
+    parts = placed.groupBy("column", "part").agg(F.sum("n").alias("m"))
+    earlier = F.coalesce(F.sum("m").over(Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("column", "part", earlier.alias("earlier"))
+    w = Window.partitionBy("column", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(F.broadcast(parts), ["column", "part"]).withColumn("upto", F.col("earlier") + F.sum("n").over(w))
+    below = F.col("upto") - F.col("n")
+    picks = []
+    for q in points:
+        at = (F.col("total") - 1) * q
+        at_rank = lambda r: F.max(F.when((below <= r) & (r < F.col("upto")), F.col("v")))
+        low, high = at_rank(F.floor(at)), at_rank(F.ceil(at))
+        picks.append((low + (high - low) * F.max(at - F.floor(at))).alias(f"q{round(q * 100)}"))
+    return ranked.groupBy("column").agg(*picks)
 
-    return long_form(df, {c: of(c) for c in columns})
+
+def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Counts, moments, extremes and quartiles of numeric columns, from one count of values a column."""
+    values = counted(df, columns)
+    known = F.when(F.col("v").isNotNull(), F.col("n"))
+    n, total = F.coalesce(F.sum(known), F.lit(0)), F.sum(F.col("v") * F.col("n"))
+    one = values.groupBy("column").agg(
+        n.alias("n"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("v").alias("distinct"),
+        (total / F.nullif(n, F.lit(0))).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"),
+    )
+    far = values.join(F.broadcast(one.select("column", "mean")), "column").groupBy("column").agg(F.sum(F.col("n") * F.pow(F.col("v") - F.col("mean"), F.lit(2.0))).alias("ss"))
+    out = one.join(far, "column").join(quantiles(values), "column", "left")
+    std = F.sqrt(F.col("ss") / F.nullif(F.greatest(F.col("n") - 1, F.lit(0)), F.lit(0)))
+    return out.select("column", "n", "missing", "distinct", "mean", std.alias("std"), "min", "max", "q25", "q50", "q75")
 
 
 def distribution_shape(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -50,8 +85,9 @@ def distribution_shape(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
-    q = {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) for c in columns}
-    out = long_form(df, {c: {"n": F.count(c), "q1": q[c][0], "q3": q[c][1]} for c in columns})
+    values = counted(df, columns)
+    n = values.where("v is not null").groupBy("column").agg(F.sum("n").alias("n"))
+    out = n.join(quantiles(values, (0.25, 0.75)), "column").withColumnsRenamed({"q25": "q1", "q75": "q3"})
     gap = (F.col("q3") - F.col("q1")) * factor
     return out.select("column", "n", (F.col("q1") - gap).alias("low"), (F.col("q3") + gap).alias("high"))
 
@@ -125,3 +161,19 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / F.when(width == 0, 1.0).otherwise(width)), F.lit(bins - 1)))
     return v.groupBy(at.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def outlier_samples(df: DataFrame, column: str, key: str, first: int = 10) -> DataFrame:
+    """The first values outside the quartiles' fences, by key; the number is the report's feature."""
+    fences = iqr_bounds(df, [column]).select("low", "high")
+    far = df.crossJoin(F.broadcast(fences)).where((F.col(column) < F.col("low")) | (F.col(column) > F.col("high")))
+    return far.orderBy(key).limit(first).select(key, column)
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
+def length_profile(df: DataFrame, column: str) -> DataFrame:
+    n = F.length(column)
+    return df.agg(F.count("*").alias("rows"), F.min(n).alias("min"), F.max(n).alias("max"), F.round(F.avg(n), 6).alias("mean"))

@@ -6,35 +6,49 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe import constants as C
-from helixframe.functions.sequence import header_label
+from helixframe.functions.sequence import client_type, header_label
+from helixframe.operators.validation import type_validation
 
+# The extensions and the size that an upload may have.
 ALLOWED = ("csv", "txt", "fasta", "fa", "fas", "fastq", "fq", "json", "xlsx", "tsv", "gbk", "gff")
 MOST_BYTES = 500 * 1024 * 1024
 
 
+def fasta_records(spark: SparkSession, path: str) -> DataFrame:
+    """lines of each record, its header first. Records are split by the reader itself, so a large file is
+    read in parallel; text before the first header of a file is dropped. One row a file is broadcast."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("early"), F.monotonically_increasing_id().alias("at")
+    )
+    # A record after the first of its file lost its ">" to the separator; the first one still has it, or is a preamble.
+    starts = records.where("early").groupBy("file").agg(F.min("at").alias("start"))
+    records = records.join(F.broadcast(starts), "file", "left")
+    value = F.when(F.col("value").startswith(">"), F.expr("substring(value, 2)")).when(F.col("at") == F.col("start"), F.lit(None)).otherwise(F.col("value"))
+    rows = records.select(value.alias("value")).where("value is not null and trim(value) <> ''")
+    return rows.select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+
+
 def fasta(spark: SparkSession, path: str, comments: str = "skip") -> DataFrame:
     """id, description, sequence, length, label of each record; lines are joined.
 
-    Records are split by the reader itself, so a large file is read in parallel. Text before the
-    first header is dropped; lines that start with # are skipped, or kept as part of the sequence
-    with ``comments='keep'``.
+    Text before the first header is dropped; lines that start with # are skipped, or kept as part of the
+    sequence with ``comments='keep'``.
     """
-    records = spark.read.option("lineSep", "\n>").text(path)
-    first = F.regexp_replace("value", r"(?s)^[^>]*?(?:^|\n)>", "")
-    headed = F.input_file_block_start() == 0
-    rows = records.select(F.col("value"), headed.alias("head"))
-    body = F.when(F.col("value").startswith(">"), F.expr("substring(value, 2)")).when(
-        F.col("value").startswith("#") | F.col("value").rlike(r"(?s)^\s"), first
-    ).otherwise(F.col("value"))
-    rows = rows.select(F.split(F.regexp_replace(body, "\r", ""), "\n").alias("lines"))
+    rows = fasta_records(spark, path)
     header = F.trim(F.col("lines")[0])
     keep = F.filter(F.expr("slice(lines, 2, size(lines))"), lambda x: ~x.startswith("#") | F.lit(comments == "keep"))
     sequence = F.regexp_replace(F.array_join(keep, ""), r"\s", "")
-    out = rows.select(F.substring_index(header, " ", 1).alias("id"), header.alias("description"), sequence.alias("sequence"))
-    out = out.where("id <> ''").where(~F.col("id").startswith("#"))
+    out = rows.select(F.substring_index(header, " ", 1).alias("id"), header.alias("description"), sequence.alias("sequence")).where("id <> ''")
     return out.withColumn("length", F.length("sequence")).withColumn("label", header_label(F.col("description")))
 
 
+def client_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """id, sequence, length, type: letters of the nucleotide codes only, in upper case; empty records are dropped."""
+    rows = fasta(spark, path, comments="keep")
+    s = F.upper(F.regexp_replace("sequence", "(?i)[^ATCGURYNWSMKBDHV]", ""))
+    return rows.select("id", s.alias("sequence")).where("sequence <> ''").select("id", "sequence", F.length("sequence").alias("length"), client_type(F.col("sequence")).alias("type"))
+
+
 def clean_fasta(records: DataFrame, kind: str = "dna") -> DataFrame:
     """Upper case, letters of the alphabet only, empty records and repeated rows dropped."""
     alphabet = {"dna": C.DNA, "rna": C.RNA, "protein": C.AMINO}[kind]
@@ -75,18 +89,78 @@ def delimited(spark: SparkSession, path: str, separator: str | None = None) -> D
     return spark.read.csv(path, sep=separator, header=True, inferSchema=True)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Reader by extension; other extensions raise an error."""
-    end = path.rstrip("/").rpartition(".")[2].lower()
+def sample(spark: SparkSession, path: str, rows: int = 10_000) -> DataFrame:
+    """At most ``rows`` rows of a delimited file, for previews and statistics that ask for a sample."""
+    return delimited(spark, path).limit(rows)
+
+
+def safe(spark: SparkSession, path: str, rows: int = 100_000) -> DataFrame | None:
+    """A sample of a delimited file, or None where it cannot be read."""
+    try:
+        return sample(spark, path, rows)
+    except Exception:
+        return None
+
+
+def sequence_lengths(df: DataFrame) -> DataFrame:
+    """Lengths of the first column whose name holds ``seq`` and that is text."""
+    names = [c for c, kind in df.dtypes if "seq" in c.lower() and kind == "string"]
+    if not names:
+        raise ValueError("no column of sequences")
+    n = F.length(names[0])
+    return df.where(F.col(names[0]).isNotNull()).agg(F.count("*").alias("rows"), F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("avg")).withColumn("column", F.lit(names[0]))
+
+
+def text_input(df: DataFrame, *keep: str) -> DataFrame:
+    """One row for each line of ``text`` that is not blank, as ``sequence``."""
+    return df.select(*keep, F.explode(F.split("text", "\n")).alias("sequence")).where(F.trim("sequence") != "")
+
+
+def json_payload(spark: SparkSession, path: str) -> DataFrame:
+    """seq_idx, sequence of the field ``sequences`` of JSON bodies."""
+    bodies = spark.read.schema("sequences array<string>").json(path)
+    return bodies.select(F.explode("sequences").alias("sequence")).select(F.monotonically_increasing_id().alias("seq_idx"), "sequence")
+
+
+SEQUENCE_KINDS = ("dna", "rna", "protein")
+
+
+def read(spark: SparkSession, path: str, kind: str = "general", name: str | None = None) -> DataFrame:
+    """Reader by the extension of ``name`` (or the path) and the kind of dataset; other extensions raise an error.
+
+    A delimited file of a kind of sequences has to have a text column named after them.
+    """
+    end = (name or path).rstrip("/").rpartition(".")[2].lower()
     if end in ("fasta", "fa", "fas"):
         return fasta(spark, path)
     if end in ("fastq", "fq"):
         return fastq(spark, path)
     if end in ("csv", "tsv", "txt"):
-        return delimited(spark, path)
+        out = delimited(spark, path)
+        if kind in SEQUENCE_KINDS and not any("seq" in c.lower() for c in out.columns):
+            raise ValueError("no column of sequences")
+        return out
     raise ValueError(f"no reader for .{end}")
 
 
+def ingest(spark: SparkSession, path: str, store: str, kind: str, name: str, size: int) -> DataFrame:
+    """Check an upload, read and validate it, store it as Parquet under ``store``; its row of metadata.
+
+    Uploads of a wrong extension, size or without records raise an error.
+    """
+    wrong = validate_upload(name, size)
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    rows = read(spark, path, kind, name)
+    if "sequence" not in rows.columns:
+        rows.write.parquet(store)
+        return spark.read.parquet(store).agg(F.count("*").alias("rows")).withColumn("status", F.lit("valid"))
+    rows.withColumn("seq_idx", F.monotonically_increasing_id()).write.parquet(store)
+    kept = spark.read.parquet(store)
+    checked = type_validation(kept, kind)
+    return kept.agg(F.count("*").alias("rows"), F.sum("length").alias("total_length")).crossJoin(checked).withColumn("stored", F.lit(store))
+
+
 def validate_upload(name: str, size: int) -> list[str]:
     """What is wrong with an upload: its extension or its size; nothing if it is fine."""
     found = [] if name.rpartition(".")[2].lower() in ALLOWED else [f"extension of {name} is not allowed"]
