@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, shared by driver and executors.
+    """The folder that ``spark.checkpoint.dir`` names, shared by driver and executors; a session without it raises an error.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder of its own.
+    A folder of one machine would lose its rows with an executor.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", "")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="helixframe-checkpoint-"))
-    return (named or sc.getCheckpointDir()).rstrip("/")
+    named = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named.rstrip("/")
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -40,9 +40,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage: ``df`` is written as Parquet to the shared folder and read again.
+
+    The new plan knows the table's true size. A checkpoint would carry the old plan's estimate, which
+    multiplies with every join of an iteration.
+    """
+    spark = df.sparkSession
+    df.write.parquet(path := f"{shared_folder(spark)}/step-{uuid.uuid4().hex}")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def id_remainder(col: Column, modulus: int) -> Column:

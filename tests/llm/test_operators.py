@@ -430,3 +430,46 @@ def test_fuzzy_lines_of_documents_equal_brute_force(spark, sf, first):
     want = {place for g in groups.values() for place in g if place != min(g)}
     found = line_dedup.repeated_lines(docs).collect()
     assert {(r["doc_id"], k) for r in found for k, drop in enumerate(r["drop"]) if drop} == want and want
+
+
+def linked_vectors(every):
+    """(links, smallest reachable) of each vector by all pairs."""
+    good = [(i, np.array(v, float)) for i, v in every if v and np.isfinite(v).all() and np.any(v)]
+    x = np.array([v / np.linalg.norm(v) for _, v in good])
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    ids = [i for i, _ in good]
+    root = reachable([i for i, _ in every], [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near))])
+    links = dict(zip(ids, near.sum(1).tolist()))
+    return {i: (links.get(i, 0), root[i], root[i] == i) for i, _ in every}, x
+
+
+def test_planted_links_chains_and_groups(spark, monkeypatch):
+    """Pairs near 0.95, a chain, two tight clusters that are linked across, a group larger than lists and blocks, copies."""
+    monkeypatch.setattr(embedding_dedup, "BUCKET_BLOCK", 40)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v)
+
+    def beside(v, cosine):
+        w = unit(rng.standard_normal(len(v)))
+        w = unit(w - (w @ v) * v)
+        return cosine * v + np.sqrt(1 - cosine * cosine) * w
+
+    vectors = [unit(v) for v in rng.standard_normal((150, 32))]
+    vectors += [beside(vectors[k], c) for k in range(40) for c in (0.9501 + 0.001 * k,)]
+    chain = [vectors[0]]
+    for _ in range(16):
+        chain.append(beside(chain[-1], 0.955))
+    vectors += chain[1:]
+    centre = unit(rng.standard_normal(32))
+    other = beside(centre, 0.962)
+    vectors += [beside(c, 0.9995) for c in (centre, other) for _ in range(10)]
+    heart = unit(rng.standard_normal(32))
+    vectors += [beside(heart, 0.98) for _ in range(110)]
+    vectors += vectors[5:15] + [vectors[7]] * 30
+    every = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(vectors)), vectors)]
+    want, x = linked_vectors(every)
+    assert max(w[0] for w in want.values()) > 80
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(every, "vec_id long, embedding array<double>")).collect()}
+    assert got == want
