@@ -160,7 +160,7 @@ n as (select codon, count(*) as n from c group by codon) select codon, n, round(
 round(({' + '.join(_occ('s', p) for p in ('AC', 'CA', 'AT', 'TA', 'GC', 'CG', 'GT', 'TG'))}) / (len(s) - 1)::double, 6) as transversions, {_occ('s', 'CG')}::bigint as cpg_sites from seqs""",
     "selection_pressure": f"""with {SEQS} select seq_idx, round({_GC}, 6) as gc,
 round(len(list_distinct(list_transform(range(1, len(s) - 4), lambda i: s[i:i + 5]))) / least(4096, len(s) - 5)::double, 6) as complexity from seqs""",
-    "sequence_types": f"""with {SEQS}, t as (select doc_id, upper(trim(coalesce(text, '')[1:200])) as x, upper(coalesce(text, '')[1:200]) as y from documents),
+    "sequence_types": f"""with {SEQS}, t as (select doc_id, upper(trim(coalesce(text, ''), ' ')) as x, upper(coalesce(text, '')) as y from documents),
 c as (select *, list_distinct(string_split(x, '')) as k from t)
 select doc_id, case when len(list_intersect(k, ['A','T','C','G'])) / len(k)::double > 0.9 and not contains(y, 'U') then 'dna'
 when len(list_intersect(k, ['A','U','C','G'])) / len(k)::double > 0.9 and contains(y, 'U') then 'rna'
@@ -185,7 +185,7 @@ r as (select *, row_number() over (partition by k order by count desc, kmer) as
 select k, kmer, count, round(count / (t - m * (k - 1))::double, 9) as freq, round(count * k / (t - m * (k - 1))::double, 9) as score from r, n where rank <= 20""",
     "integer_encode": f"""with {SEQS}, p as (select s, unnest(range(1, 301)) as i from seqs)
 select i - 1 as pos, case when i > len(s) then 0 else instr('ACGT', s[i:i]) end as code, count(*) as n from p group by all""",
-    "one_hot": f"""with {SEQS}, p as (select s, unnest(range(0, 160)) as pos from seqs)
+    "one_hot": f"""with {SEQS}, p as (select s, unnest(range(0, 1024)) as pos from seqs)
 select pos, sum((s[pos // 4 + 1:pos // 4 + 1] = 'ACGT'[pos % 4 + 1:pos % 4 + 1])::int)::bigint as n from p group by pos""",
     "pad_truncate": f"with {SEQS} select seq_idx, rpad(s, 300, 'N') as padded, s[1:100] as cut from seqs",
     "column_profile": _union(
@@ -244,12 +244,9 @@ x as (select lineitem.* from lineitem, a where l_extendedprice between q1 - 1.5
 b as (select quantile_cont(l_quantity, 0.25) as q1, quantile_cont(l_quantity, 0.75) as q3 from x)
 select count(*) as n, round(sum(l_extendedprice), 0) as total from x, b where l_quantity between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)""",
     "remove_outliers_z": "with s as (select avg(value) as m, stddev_samp(value) as d from events) select count(*) as n, round(sum(value), 2) as total from events, s where abs(value - m) / d < 2",
-    "anova_f": _union(
-        f"""select 'e{i}' as feature, round((sum(n * power(m - g, 2)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))), 4) as f_score from
-(select count(*) as n, avg(x) as m, sum(power(x, 2)) - count(*) * power(avg(x), 2) as ss from (select label, embedding[{i + 1}]::double as x from embeddings) group by label),
-(select avg(embedding[{i + 1}]::double) as g from embeddings)"""
-        for i in range(8)
-    ),
+    "anova_f": """with x as (select label, unnest(range(0, len(embedding))) as i, unnest(embedding)::double as x from embeddings), g as (select i, avg(x) as g from x group by i),
+c as (select i, label, count(*) as n, avg(x) as m, sum(power(x, 2)) - count(*) * power(avg(x), 2) as ss from x group by i, label)
+select 'e' || i as feature, round((sum(n * power(m - g, 2)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))), 4) as f_score from c join g using (i) group by i""",
     "label_encode": "select o_orderkey, dense_rank() over (order by o_orderpriority) - 1 as code from orders",
     "stratified_split": """select vec_id, label, case when row_number() over (partition by label order by md5(vec_id::varchar), vec_id) <= ceil(count(*) over (partition by label) * 0.2::double) then 'test' else 'train' end as part from embeddings""",
     "visible_page": """select o_orderkey, o_totalprice from orders where (o_custkey % 10 = 1 or o_orderstatus = 'F') and o_orderpriority = '1-URGENT' order by o_totalprice, o_orderkey limit 50 offset 20""",

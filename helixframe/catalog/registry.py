@@ -197,7 +197,7 @@ def selection_pressure(spark, d):
 
 @query
 def sequence_types(spark, d):
-    t = load(spark, d, "documents").select("doc_id", S.sequence_type(F.substring("text", 1, 200)).alias("of_text"))
+    t = load(spark, d, "documents").select("doc_id", S.sequence_type(F.coalesce("text", F.lit(""))).alias("of_text"))
     return t.join(seqs(spark, d).select(F.col("seq_idx").alias("doc_id"), S.sequence_type(F.col("sequence")).alias("of_bases")), "doc_id")
 
 
@@ -251,7 +251,7 @@ def integer_encode(spark, d):
 
 @query
 def one_hot(spark, d):
-    e = prep.one_hot(seqs(spark, d), "sequence", 40)
+    e = prep.one_hot(seqs(spark, d), "sequence", 256)
     return e.select(F.posexplode("one_hot").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("n"))
 
 
@@ -395,8 +395,9 @@ def remove_outliers_z(spark, d):
 @query
 def anova_f(spark, d):
     e = load(spark, d, "embeddings")
-    wide = e.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return prep.anova_f(wide, [f"e{i}" for i in range(8)], "label").select("feature", F.round("f_score", 4).alias("f_score"))
+    n = len(e.select("embedding").first()[0])
+    wide = e.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
+    return prep.anova_f(wide, [f"e{i}" for i in range(n)], "label").select("feature", F.round("f_score", 4).alias("f_score"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import product
 
@@ -63,19 +64,26 @@ def impute_nearest(df: DataFrame, key: str, column: str, features: list[str], k:
     return out.withColumn(column, F.coalesce(F.col(column).cast("double"), "__mean")).select(*df.columns)
 
 
-def min_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): the smallest node reachable over undirected edges; labels halve their distance each round.
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the session's shared folder (spark.checkpoint.dir, else its warehouse) and read again.
 
-    Every round is checkpointed, so that lost executors do not replay all rounds.
+    Rounds of an iteration then start from a table, and lost executors do not replay all rounds.
     """
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    df.write.parquet(path := f"{base.rstrip('/')}/round-{uuid.uuid4().hex}")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def min_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label): the smallest node reachable over undirected edges; labels halve their distance each round."""
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).checkpoint()
+    both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = label.join(near, "node").select("node", F.least("label", "near").alias("label"))
-        jump = low.alias("x").join(low.alias("y"), F.col("x.label") == F.col("y.node")).select("x.node", F.least("x.label", "y.label").alias("label"))
-        new = jump.checkpoint()
+        new = stored(low.alias("x").join(low.alias("y"), F.col("x.label") == F.col("y.node")).select("x.node", F.least("x.label", "y.label").alias("label")))
         if new.join(label.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty():
             return new
         label = new
@@ -87,14 +95,14 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int)
     Rows meet over the cells of a grid as wide as ``eps`` and their neighbours, for a few columns.
     """
     cell = lambda c: F.floor(F.col(c) / eps).cast("long")
-    rows = df.where(F.lit(True)).select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    rows = df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     rows = rows.na.drop().withColumns({f"c{i}": cell(f"x{i}") for i in range(len(columns))})
     shifts = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(s)]) for s in product((-1, 0, 1), repeat=len(columns))])
     spread = rows.withColumn("s", F.explode(shifts)).select(
         F.col("id").alias("o"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(len(columns))], *[(F.col(f"c{i}") + F.col(f"s.d{i}")).alias(f"c{i}") for i in range(len(columns))]
     )
     gap: Column = sum(((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in range(len(columns))), F.lit(0.0))
-    near = rows.join(spread, [f"c{i}" for i in range(len(columns))]).where(F.sqrt(gap) <= eps).select("id", "o").checkpoint()
+    near = stored(rows.join(spread, [f"c{i}" for i in range(len(columns))]).where(F.sqrt(gap) <= eps).select("id", "o"))
     core = near.groupBy("id").count().where(F.col("count") >= least).select("id")
     links = near.join(core, "id").join(core.withColumnRenamed("id", "o"), "o").select(F.col("id").alias("a"), F.col("o").alias("b"))
     label = min_labels(links)
