@@ -98,7 +98,7 @@ class Discriminant:
 
 
 def fit(texts: DataFrame, shrink: float = 0.2, ridge: float = 0.05, temperature: float = 4.0) -> Discriminant:
-    """Fit on rows (text, label 0.0 or 1.0). Tasks sum up moments; the driver adds one row a task and class.
+    """Fit on rows (text, label 0.0 or 1.0). Tasks sum up moments, which are added by class and place: a bounded number of rows.
 
     With no rows of a class its distribution falls back to the other's, so every score is 0.5.
     """
@@ -114,8 +114,10 @@ def fit(texts: DataFrame, shrink: float = 0.2, ridge: float = 0.05, temperature:
         yield pd.DataFrame({"label": list(total), "sums": [v.tolist() for v in total.values()]})
 
     sums = {0: np.zeros(1 + d + d * d), 1: np.zeros(1 + d + d * d)}
-    for row in bounded_batches(texts).select("text", "label").mapInPandas(moments, "label int, sums array<double>").collect():
-        sums[row["label"]] += np.array(row["sums"])
+    parts = bounded_batches(texts).select("text", "label").mapInPandas(moments, "label int, sums array<double>")
+    parts = parts.select("label", F.posexplode("sums").alias("place", "v")).groupBy("label", "place").agg(F.sum("v").alias("v"))
+    for row in parts.collect():
+        sums[row["label"]][row["place"]] += row["v"]
     whole = sums[0] + sums[1]
     if not whole[0]:
         whole[0] = 1

@@ -9,11 +9,13 @@ The map has one row a slot and version, whatever the number of records.
 from __future__ import annotations
 
 import heapq
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import cut
+from helixframe.llm.common import cut, shared_folder
 
 SLOTS = 4096
 #: Buckets of ids by which the rows of a shard are numbered.
@@ -81,12 +83,26 @@ def lookup(shard_of: list[int], slot: Column) -> Column:
 
 def save_map(spark: SparkSession, path: str, shard_of: list[int], version: int) -> None:
     """Add a version to the stored map; earlier versions stay readable."""
-    map_frame(spark, shard_of, version).write.mode("overwrite").parquet(f"{path}/version={version:08d}")
+    map_frame(spark, shard_of, version).drop("version").write.parquet(f"{path}/version={version}")
 
 
-def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
-    rows = spark.read.parquet(f"{path}/version={version:08d}").orderBy("virtual_slot").collect()
-    return [r["shard"] for r in rows]
+def stored_maps(spark: SparkSession, path: str) -> DataFrame | None:
+    """(version, virtual_slot, shard) of all stored versions, None without any."""
+    try:
+        return spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:
+    """The latest version, or the one asked for, and its map: one row a slot."""
+    maps = stored_maps(spark, path)
+    if version is None:
+        version = maps.agg(F.max("version")).first()[0]
+    rows = maps.where(F.col("version") == version).orderBy("virtual_slot").collect()
+    return version, [r["shard"] for r in rows]
 
 
 def slotted(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -124,14 +140,23 @@ def numbered(rows: DataFrame) -> DataFrame:
     return out.withColumn("slot", F.col("start") + F.col("within")).drop("start", "within", "bucket")
 
 
-def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, shard_of: list[int] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, store: str | None = None) -> DataFrame:
     """Rows of ``docs`` (doc_id, text) as doc_id, size, text_crc32, virtual_slot, shard, slot.
 
-    ``size`` is the text's UTF-8 bytes (null: none) plus 1. Without a map a first one is made from
-    the measured bytes; a given map is edited by ``rebalance``. Null texts count as empty; repeated
-    rows and rows without doc_id each have their place; no rows give none; other columns are not read.
+    ``size`` is the text's UTF-8 bytes (null: none) plus 1. ``store`` is the folder of the versioned map (one of its
+    own in the shared folder if none is given). Without a version there a first one is made and stored; the latest one is edited
+    for the bytes that the slots hold now, stored as the next version, and read for the result. Null texts count as
+    empty; repeated rows and rows without doc_id each have their place; no rows give none; other columns are not read.
     """
+    spark = docs.sparkSession
+    store = store or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
     rows = slotted(docs, shards, slots)
     sizes = slot_bytes(rows, slots)
-    shard_of = rebalance(shard_of or initial_map(sizes, shards), sizes, shards)
-    return numbered(rows.withColumn("shard", lookup(shard_of, F.col("virtual_slot")))).drop("row")
+    if stored_maps(spark, store) is None:
+        save_map(spark, store, initial_map(sizes, shards), 1)
+    version, shard_of = load_map(spark, store)
+    edited = rebalance(shard_of, sizes, shards)
+    if edited != shard_of:
+        save_map(spark, store, edited, version + 1)
+        version, edited = load_map(spark, store)
+    return numbered(rows.withColumn("shard", lookup(edited, F.col("virtual_slot")))).drop("row")

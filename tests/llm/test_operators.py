@@ -473,3 +473,34 @@ def test_planted_links_chains_and_groups(spark, monkeypatch):
     assert max(w[0] for w in want.values()) > 80
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(every, "vec_id long, embedding array<double>")).collect()}
     assert got == want
+
+
+def test_stored_map_is_edited_for_new_records(spark, tmp_path):
+    store = str(tmp_path / "map")
+    docs = spark.createDataFrame([(i, "x" * (i % 97)) for i in range(400)], "doc_id long, text string")
+    first = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, 4, 64, store).collect()}
+    before, old = sharding.load_map(spark, store)
+    more = docs.unionByName(spark.createDataFrame([(i, "y" * (i % 301)) for i in range(400, 520)], "doc_id long, text string"))
+    second = {r["doc_id"]: r["shard"] for r in sharding.shard(more, 4, 64, store).collect()}
+    after, new = sharding.load_map(spark, store)
+    assert after == before + 1 and sharding.load_map(spark, store, before)[1] == old
+    moved = {k for k, (a, b) in enumerate(zip(old, new)) if a != b}
+    assert 0 < len(moved) < 32 and sum(first[i] != second[i] for i in first) < 200
+
+
+def test_discriminant_equals_plain_densities(spark):
+    docs = documents(spark).where("text is not null").orderBy("doc_id").limit(60).collect()
+    texts = [(r["text"], float(k % 3 == 0)) for k, r in enumerate(docs)]
+    model = quality.fit(spark.createDataFrame(texts, "text string, label double"))
+    x = np.array([quality.statistics(t) for t, _ in texts])
+    y = np.array([label for _, label in texts])
+    pooled = np.cov(x.T, bias=True)
+    density = []
+    for c in (0, 1):
+        z = x[y == c]
+        cov = 0.8 * np.cov(z.T, bias=True) + 0.2 * pooled
+        cov = 0.95 * cov + 0.05 * np.diag(np.maximum(np.diag(pooled), 1e-8)) + 1e-9 * np.eye(x.shape[1])
+        d = x - z.mean(0)
+        density.append(np.log(len(z) / len(x)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (d * np.linalg.solve(cov, d.T).T).sum(1))
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / 4, -30, 30)))
+    assert np.allclose(model.score(x), want, atol=1e-6)
