@@ -17,7 +17,8 @@ from helixframe.functions import sequence as S
 
 
 def motif_hits(seqs: DataFrame, motifs: tuple = C.MOTIFS, upper: bool = True) -> DataFrame:
-    """seq_idx, s, family, motif, score, position for every non-overlapping hit of the table's patterns, from 0.
+    """seq_idx, family, motif, score, position, region for every non-overlapping hit of the table's patterns, from 0;
+    the region is of 100 letters on both sides of the position.
 
     Positions of hits need a scan that carries its place; with SQL functions it is quadratic in the
     hits, so the patterns run over Arrow batches, each linear in the sequence.
@@ -27,28 +28,29 @@ def motif_hits(seqs: DataFrame, motifs: tuple = C.MOTIFS, upper: bool = True) ->
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at, which, position = [], [], []
+            at, which, position, region = [], [], [], []
             for i, s in enumerate(batch["s"]):
                 for k, (_, _, _, pattern) in enumerate(compiled if s else ()):
                     found = [m.start() for m in pattern.finditer(s)]
                     at += [i] * len(found)
                     which += [k] * len(found)
                     position += found
-            names = [np.array([c[j] for c in compiled], object)[which] if which else [] for j in range(2)]
-            score = np.array([c[2] for c in compiled])[which] if which else []
-            hit = batch.iloc[at]
-            yield pd.DataFrame({"seq_idx": hit["seq_idx"].to_numpy(), "s": hit["s"].to_numpy(), "family": names[0], "motif": names[1], "score": score, "position": position})
-
-    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string("family string, motif string, score double, position int").fields])
+                    region += [s[max(0, p - 100) : p + 100] for p in found]
+            kinds = np.array(which, np.int64)
+            names = [np.array([c[j] for c in compiled], object)[kinds] for j in range(2)]
+            score = np.array([c[2] for c in compiled])[kinds]
+            yield pd.DataFrame({
+                "seq_idx": batch["seq_idx"].iloc[at].to_numpy(), "family": names[0], "motif": names[1], "score": score, "position": np.array(position, np.int64), "region": np.array(region, object),
+            })
+
+    schema = T.StructType([rows.schema["seq_idx"], *T._parse_datatype_string("family string, motif string, score double, position int, region string").fields])
     return rows.mapInPandas(scan, schema)
 
 
 def promoters(seqs: DataFrame) -> DataFrame:
     """Promoter motifs with a strength by the GC of the region of 100 letters around."""
     hits = motif_hits(seqs, tuple(m for m in C.MOTIFS if m[0] == "promoter"))
-    low = F.greatest(F.lit(0), F.col("position") - 100)
-    region = F.substring(F.col("s"), low + 1, F.col("position") + 100 - low)
-    gc = S.gc_unambiguous(region)
+    gc = S.gc_unambiguous(F.col("region"))
     strength = F.when(gc.between(0.4, 0.6), 0.8).when(gc.between(0.3, 0.7), 0.6).otherwise(0.4)
     return hits.select("seq_idx", "motif", "position", strength.alias("strength"))
 
@@ -86,7 +88,7 @@ def _orf_places(s: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def orfs(seqs: DataFrame, column: str = "sequence") -> DataFrame:
-    """Every ATG at any offset with its first stop in frame; input columns stay. start from 0, end exclusive.
+    """Every ATG at any offset with its first stop in frame; the other input columns stay. start from 0, end exclusive.
 
     The next stop of each frame is found by a sorted search over Arrow batches: with SQL functions
     it takes a walk from every ATG, which is quadratic in long sequences.
@@ -97,15 +99,14 @@ def orfs(seqs: DataFrame, column: str = "sequence") -> DataFrame:
             found = [_orf_places(s) if s else ((), ()) for s in batch[column]]
             many = np.array([len(f[0]) for f in found], np.int64)
             at = np.repeat(np.arange(len(batch)), many)
-            out = batch.iloc[at].copy()
             text = batch[column].tolist()
-            out["start"] = np.concatenate([np.asarray(f[0], np.int64) for f in found]) if len(found) else []
-            out["end"] = np.concatenate([np.asarray(f[1], np.int64) for f in found]) if len(found) else []
-            out["orf_length"] = out["end"] - out["start"]
-            out["orf"] = [text[i][a:b] for i, a, b in zip(at, out["start"], out["end"])]
-            yield out
+            start, end = (np.concatenate([np.asarray(f[k], np.int64) for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            out = {c: batch[c].iloc[at].reset_index(drop=True) for c in kept}
+            out |= {"start": start, "end": end, "orf_length": end - start, "orf": np.array([text[i][a:b] for i, a, b in zip(at, start, end)], object)}
+            yield pd.DataFrame(out)
 
-    schema = T.StructType([*seqs.schema.fields, *T._parse_datatype_string("start int, end int, orf_length int, orf string").fields])
+    kept = [c for c in seqs.columns if c != column]
+    schema = T.StructType([*[seqs.schema[c] for c in kept], *T._parse_datatype_string("start int, end int, orf_length int, orf string").fields])
     return seqs.mapInPandas(scan, schema)
 
 
