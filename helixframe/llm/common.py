@@ -102,24 +102,50 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+#: Edges that a task contracts at once.
+CONTRACTED = 50_000
+
+
+def contracted(edges: DataFrame, many: int) -> tuple[DataFrame, int]:
+    """Edges (a, b) from each node to the smallest one that it reaches within its part of the edges, and the number of parts.
+
+    Parts are of CONTRACTED edges, whatever the number of edges, and dealt without a key, so no node's edges crowd one.
+    """
+    parts = max(1, -(-many // CONTRACTED))
+
+    def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b.to_numpy(np.int64) for b in batches if len(b)]
+        if held:
+            ends = np.concatenate(held)
+            nodes, place = np.unique(ends.ravel(), return_inverse=True)
+            place = place.reshape(-1, 2)
+            root = root_labels(len(nodes), place[:, 0], place[:, 1])
+            some = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pd.DataFrame({"a": nodes[some], "b": nodes[root[some]]})
+
+    return cut(edges.select("a", "b").repartition(parts).mapInPandas(contract, "a long, b long")), parts
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as long columns ``a`` and ``b``.
 
-    The component is the smallest node reachable. Alternates large-star and small-star steps;
-    each step is one grouped minimum and one join, and each round ends in a checkpoint. The
-    driver only ever sees a count and a checksum.
+    The component is the smallest node reachable. Tasks contract their parts of the edges; where there is more than
+    one part, large-star and small-star steps follow, each a grouped minimum and a join, with the edges contracted
+    and stored after each round. The driver only ever sees a count and a checksum.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    first = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, parts = contracted(first, first.count())
     mark = None
-    while True:
+    while parts > 1:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        step = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        seen = step.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = step
         if tuple(seen) == mark:
             break
         mark = tuple(seen)

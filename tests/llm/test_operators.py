@@ -504,3 +504,15 @@ def test_discriminant_equals_plain_densities(spark):
         density.append(np.log(len(z) / len(x)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (d * np.linalg.solve(cov, d.T).T).sum(1))
     want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / 4, -30, 30)))
     assert np.allclose(model.score(x), want, atol=1e-6)
+
+
+def test_components_of_many_parts_equal_reachability(spark, monkeypatch):
+    from helixframe.llm import common
+
+    rng = np.random.default_rng(13)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + rng.integers(200, 320, (90, 2)).tolist() + [(7, 7)]
+    want = reachable({x for a, b in edges if a != b for x in (a, b)}, [e for e in edges if e[0] != e[1]])
+    for size in (40, 50_000):
+        monkeypatch.setattr(common, "CONTRACTED", size)
+        got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == want
