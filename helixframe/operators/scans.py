@@ -57,11 +57,13 @@ def promoters(seqs: DataFrame) -> DataFrame:
 
 def cpg_islands(seqs: DataFrame, width: int = 200, step: int = 50) -> DataFrame:
     """Windows with over half G and C and over 0.6 percent CpG; windows are not merged. ``width`` is a multiple of ``step``."""
-    n, many = F.length("sequence"), width // step
-    starts = F.when(n > width, F.sequence(F.lit(0), F.floor((n - width - 1) / step).cast("int")))
+    rows = seqs.select("seq_idx", F.upper("sequence").alias("sequence"))
     cut = F.regexp_extract_all("sequence", F.lit(f"(?s)(.{{{step}}})"), F.lit(1))
-    w = seqs.select("seq_idx", F.upper("sequence").alias("sequence")).select("seq_idx", cut.alias("cut"), F.explode(starts).alias("k"))
-    w = w.select("seq_idx", (F.col("k") * step).alias("start"), F.array_join(F.slice("cut", F.col("k") + 1, many), "").alias("part"))
+    window = cut
+    for j in range(1, width // step):
+        window = F.zip_with(window, F.slice(cut, j + 1, F.greatest(F.size(cut), F.lit(1))), lambda a, b: F.concat(a, b))
+    w = rows.select("seq_idx", F.length("sequence").alias("n"), F.posexplode(window).alias("k", "part")).withColumn("start", F.col("k") * step)
+    w = w.where(F.col("part").isNotNull() & (F.col("start") < F.col("n") - width))
     part = F.col("part")
     w = w.select("seq_idx", "start", (S.count_of(part, "CG") / width).alias("gc"), (S.occurrences(part, "CG") * 100 / width).alias("cpg"))
     return w.where("gc > 0.5 and cpg > 0.6").select(
