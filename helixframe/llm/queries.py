@@ -18,6 +18,7 @@ from helixframe.llm import (
     sentencepiece_codec,
     sharding,
     simhash_dedup,
+    source_divergence,
     toxicity,
 )
 from helixframe.llm.common import id_remainder, table
@@ -80,13 +81,18 @@ def op10_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_sentencepiece, op2_quality_qda, op3_embedding_nn_descent, op4_imatch, op5_virtual_slots, op6_fuzzy_lines,
         op7_martello_toth, op8_license_rules, op9_simhash_anchors, op10_toxicity_gbt,
+        op13_source_divergence,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_rules": license_scan.oracle()}
+    return {"op8_license_rules": license_scan.oracle(), "op13_source_divergence": source_divergence.oracle()}
