@@ -19,7 +19,9 @@ from helixframe.llm import (
     sharding,
     simhash_dedup,
     source_divergence,
+    spelling_variants,
     toxicity,
+    url_filter,
 )
 from helixframe.llm.common import id_remainder, table
 
@@ -81,6 +83,19 @@ def op10_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"), slips=True)
+
+
+#: Rules of the registered query, by host and start of the path.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op12_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -89,10 +104,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_sentencepiece, op2_quality_qda, op3_embedding_nn_descent, op4_imatch, op5_virtual_slots, op6_fuzzy_lines,
         op7_martello_toth, op8_license_rules, op9_simhash_anchors, op10_toxicity_gbt,
-        op13_source_divergence,
+        op11_anagram_variants, op12_url_digests, op13_source_divergence,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_rules": license_scan.oracle(), "op13_source_divergence": source_divergence.oracle()}
+    return {
+        "op8_license_rules": license_scan.oracle(), "op12_url_digests": url_filter.oracle(URL_RULES), "op13_source_divergence": source_divergence.oracle(),
+    }
