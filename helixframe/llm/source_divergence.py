@@ -162,7 +162,9 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     langs = groups.groupBy("lang").agg(F.count("*").alias("g"))
     size = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     langs = langs.join(size, "lang", "left").fillna(0, ["v", "lang_total"])
-    heavy = kept.join(langs.select("lang", "g"), "lang").groupBy("lang").agg(F.count_if(F.col("k") * HEAVY < F.col("g")).alias("light"))
+    # Counted by number of groups first: a lang may hold most of the terms.
+    widths = kept.groupBy("lang", "k").agg(F.count("*").alias("m")).join(langs.select("lang", "g"), "lang")
+    heavy = widths.where(F.col("k") * HEAVY < F.col("g")).groupBy("lang").agg(F.sum("m").alias("light"))
     langs = langs.join(heavy, "lang", "left").fillna(0, ["light"]).withColumn("sides", F.ceil(F.col("g") / SIDE).cast("int"))
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = groups.join(totals, ["lang", "source"], "left").fillna(0, ["total"]).join(langs, "lang")
