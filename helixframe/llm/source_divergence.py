@@ -21,7 +21,7 @@ from helixframe.llm.common import bounded_batches, cut
 #: Letters A to Z and all signs beyond ASCII, in lower-cased UTF-8, where each such sign is of bytes from 0x80 on.
 TERM, BREAK = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 #: Bytes of a text that are cut into terms at once, and counted terms that a task holds before it sends them on.
-PIECE, HELD = 4 << 20, 200_000
+PIECE, HELD = 4 << 20, 500_000
 #: A kept term is in so many documents of its lang at least.
 LEAST_DOCS = 30
 #: Shares are parts of SCALE, with ADDED occurrences given to each term.
