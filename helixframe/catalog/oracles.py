@@ -152,7 +152,7 @@ select seq_idx, pair, round((len(s) - len(replace(s, pair, ''))) / 2 / (len(s) -
     "reverse_complements": f"with {SEQS} select seq_idx, reverse(translate(s, 'ACGT', 'TGCA')) as reverse_complement from seqs",
     "six_frame_proteins": f"with {SEQS}, {_PROTEINS} select seq_idx, frame, p as protein from proteins",
     "protein_features": f"""with {SEQS}, {_PROTEINS} select seq_idx, ({' + '.join(f"{_occ('p', k)} * {v}" for k, v in C.RESIDUE_WEIGHTS.items())})::bigint as weight,
-round(({' + '.join(f"{_occ('p', k)} * ({v})" for k, v in C.KYTE_DOOLITTLE.items())})::double / len(p), 6) as hydrophobicity,
+round(({' + '.join(f"{_occ('p', k)} * ({round(10 * v)})" for k, v in C.KYTE_DOOLITTLE.items())})::double / (len(p) * 10), 6) as hydrophobicity,
 round({_share('p', 'KRH')} - {_share('p', 'DE')}, 6) as net_charge, round({_share('p', 'AEHKQR')} + {_share('p', 'FILVWY')}, 6) as secondary from proteins where frame = 1""",
     "codon_usage": f"""with {SEQS}, c as (select unnest(list_transform(range(0, len(s) // 3), lambda i: s[3 * i + 1:3 * i + 3])) as codon from seqs),
 n as (select codon, count(*) as n from c group by codon) select codon, n, round(n / (sum(n) over ())::double, 6) as freq from n""",

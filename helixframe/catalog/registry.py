@@ -190,7 +190,7 @@ def substitution_patterns(spark, d):
 @query
 def selection_pressure(spark, d):
     n = F.length("sequence")
-    six = F.transform(F.sequence(F.lit(1), F.greatest(n - 5, F.lit(1))), lambda i: F.substring("sequence", i, F.lit(6)))
+    six = S.words(F.col("sequence"), 6)
     ratio = F.when(n <= 5, 0.0).otherwise(F.size(F.array_distinct(six)) / F.least(F.lit(4096), F.greatest(n - 5, F.lit(1))))
     return seqs(spark, d).select("seq_idx", r6(S.gc_unambiguous(F.col("sequence")), "gc"), r6(ratio, "complexity"))
 

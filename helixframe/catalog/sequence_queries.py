@@ -160,7 +160,7 @@ _TO_STOP = f"""code(c, r) as (values {_CODE_ROWS}), res as (select seq_idx, i, r
 cutat as (select *, count(*) filter (r = '*') over (partition by seq_idx order by i rows unbounded preceding) as stops from res),
 prot as (select seq_idx, string_agg(r, '' order by i) as p from cutat where stops = 0 group by seq_idx)"""
 ORACLES["drug_target_features"] = f"""with {MIXED}, up as (select seq_idx, replace(upper(s), 'U', 'T') as u from mixed), {CODONS}, {_TO_STOP}, x as (select seq_idx, coalesce(p, '') as p from up left join prot using (seq_idx))
-select seq_idx, p as protein, round({div(' + '.join(f"{_occ('p', k)} * ({v})" for k, v in C.KYTE_DOOLITTLE.items()), 'len(p)')}, 6) as hydrophobicity, round({_share('p', 'KRH')} - {_share('p', 'DE')}, 6) as net_charge,
+select seq_idx, p as protein, round({div(' + '.join(f"{_occ('p', k)} * ({round(10 * v)})" for k, v in C.KYTE_DOOLITTLE.items()), '(len(p) * 10)')}, 6) as hydrophobicity, round({_share('p', 'KRH')} - {_share('p', 'DE')}, 6) as net_charge,
 round({_share('p', 'AEHKQR')} + {_share('p', 'FILVWY')}, 6) as secondary, round(case when len(p) = 0 then 0 else ({' + '.join(f"contains(p, '{w}')::int" for w in C.BINDING_WORDS)}) / 6.0::double + {_share('p', 'FWYILV')} end, 6) as binding,
 {', '.join(f"round({_share('p', x)}, 6) as share_{x.lower()}" for x in C.AMINO)} from x"""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +11,11 @@ from helixframe.catalog.oracles import SEQS
 from helixframe.functions import sequence as S
 from helixframe.operators import metrics, prep, profile, relational, validation
 from helixframe.sources import readers, sinks
+from helixframe.storage import new_path
 
 ORACLES: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder of the session, else in its warehouse."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Reports and rules.
 def gaps(spark, d) -> DataFrame:
     """customer with nulls: balances at every third key, segments at every fifth."""
@@ -294,7 +287,7 @@ b as (select x from a, q where x between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3
 def _fasta(spark, d) -> str:
     s = seqs(spark, d).where("seq_idx % 8 <> 2")
     record = F.concat(F.lit(">seq"), F.col("seq_idx"), F.lit(" sample_"), F.when(F.col("seq_idx") % 2 == 0, "affected").otherwise("normal"), F.lit("\n# a comment\n"), F.substring("sequence", 1, 100), F.lit("\n"), F.substring("sequence", 101, 156))
-    s.select(record.alias("value")).write.text(path := scratch(spark, "fasta"))
+    s.select(record.alias("value")).write.text(path := new_path(spark, "fasta"))
     return path
 
 
@@ -309,7 +302,7 @@ case when seq_idx % 2 = 0 then 'affected' else 'normal' end as label from seqs w
 
 @query
 def fasta_clean(spark, d):
-    path = scratch(spark, "fasta")
+    path = new_path(spark, "fasta")
     mixed(spark, d).where("seq_idx % 8 in (1, 3, 4)").select(F.concat(F.lit(">x_"), F.col("seq_idx"), F.lit("\n"), F.col("sequence")).alias("value")).write.text(path)
     return readers.clean_fasta(readers.fasta(spark, path)).select("id", "sequence", "length")
 
@@ -320,7 +313,7 @@ select 'x_' || seq_idx as id, s as sequence, len(s) as length from m where len(s
 
 @query
 def client_fasta(spark, d):
-    path = scratch(spark, "fasta")
+    path = new_path(spark, "fasta")
     mixed(spark, d).where("seq_idx % 8 < 7").select(F.concat(F.lit(">c"), F.col("seq_idx"), F.lit(" x\n"), F.col("sequence")).alias("value")).write.text(path)
     return readers.client_fasta(spark, path)
 
@@ -332,7 +325,7 @@ select 'c' || seq_idx as id, s as sequence, len(s) as length, case when regexp_f
 
 @query
 def fastq_scan(spark, d):
-    path = scratch(spark, "fastq")
+    path = new_path(spark, "fastq")
     s = seqs(spark, d)
     quality = F.repeat(F.chr(F.lit(33) + F.col("seq_idx") % 41), 256)
     s.select(F.concat(F.lit("@r"), F.col("seq_idx"), F.lit("\n"), F.col("sequence"), F.lit("\n+\n"), quality).alias("value")).write.text(path)
@@ -352,7 +345,7 @@ ORACLES["fastq_quality"] = "select min(doc_id % 41)::double as min, round(avg(do
 
 @query
 def csv_scan(spark, d):
-    path = scratch(spark, "part")
+    path = new_path(spark, "part")
     load(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice").write.csv(path, sep="\t", header=True)
     return readers.delimited(spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", "p_retailprice")
 
@@ -363,7 +356,7 @@ ORACLES["csv_scan"] = "select p_partkey, p_brand, p_retailprice from part"
 @query
 def csv_sample(spark, d):
     """A bounded sample of a file, which is the reader's feature; only its size is fixed."""
-    path = scratch(spark, "part")
+    path = new_path(spark, "part")
     load(spark, d, "part").select("p_partkey", "p_brand").write.csv(path, header=True)
     return readers.sample(spark, path, 150).agg(F.count("*").alias("rows"), F.count("p_brand").alias("known"))
 
@@ -373,7 +366,7 @@ ORACLES["csv_sample"] = "select least(count(*), 150) as rows, least(count(*), 15
 
 @query
 def sequence_csv(spark, d):
-    path = scratch(spark, "sequences")
+    path = new_path(spark, "sequences")
     mixed(spark, d).where("seq_idx % 8 < 5").select("seq_idx", F.col("sequence").alias("dna_sequence")).write.csv(path, header=True)
     return readers.sequence_lengths(readers.delimited(spark, path)).select("column", "rows", "min", "max", r6(F.col("avg"), "avg"))
 
@@ -393,7 +386,7 @@ select doc_id, count(*) as lines, sum(len(x))::bigint as letters from l where tr
 
 @query
 def json_payload(spark, d):
-    path = scratch(spark, "payload")
+    path = new_path(spark, "payload")
     seqs(spark, d).groupBy((F.col("seq_idx") % 7).alias("k")).agg(F.sort_array(F.collect_list("sequence")).alias("sequences")).select(F.to_json(F.struct("k", "sequences")).alias("value")).write.text(path)
     return readers.json_payload(spark, path).select(F.md5("sequence").alias("digest"), F.length("sequence").alias("length"))
 
@@ -404,7 +397,7 @@ ORACLES["json_payload"] = f"with {SEQS} select md5(s) as digest, len(s) as lengt
 @query
 def ingest(spark, d):
     """A FASTA file checked, read, validated and stored with its row of metadata."""
-    store = scratch(spark, "store")
+    store = new_path(spark, "store")
     return readers.ingest(spark, _fasta(spark, d), store, "dna", name="upload.fasta", size=1000).select("status", "rows", "total_length", "type_matches")
 
 
@@ -436,7 +429,7 @@ select seq_idx as id, 256 as length, {', '.join(f"round(len(list_filter(w, lambd
 @query
 def saved_table(spark, d):
     """A prepared table written to a folder named after its source and read again."""
-    path = sinks.save_prepared(prep.scale(load(spark, d, "part").select("p_partkey", "p_size"), ["p_size"], "minmax"), scratch(spark, "prepared"), "part.csv")
+    path = sinks.save_prepared(prep.scale(load(spark, d, "part").select("p_partkey", "p_size"), ["p_size"], "minmax"), new_path(spark, "prepared"), "part.csv")
     return spark.read.csv(path, header=True, inferSchema=True).select(F.col("p_partkey").cast("long").alias("p_partkey"), r6(F.col("p_size"), "p_size"))
 
 
@@ -453,7 +446,7 @@ ORACLES["json_export"] = "select '{\"n_nationkey\":' || n_nationkey || ',\"n_nam
 
 @query
 def file_hashes(spark, d):
-    path = scratch(spark, "hashed")
+    path = new_path(spark, "hashed")
     load(spark, d, "region").select(F.col("r_name").alias("value")).orderBy("value").coalesce(1).write.text(path)
     return validation.file_hashes(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)).select("sha256", "md5")
 

@@ -21,8 +21,10 @@ def approximate_weight(p: Column) -> Column:
 
 
 def hydrophobicity(p: Column) -> Column:
+    """Mean of the residues' values, summed in whole tenths, so that no order of the sum shows."""
     n = F.length(p)
-    return F.when(n == 0, F.lit(0.0)).otherwise(weighted(p, C.KYTE_DOOLITTLE) / F.greatest(n, F.lit(1)))
+    tenths = weighted(p, {k: round(10 * v) for k, v in C.KYTE_DOOLITTLE.items()})
+    return F.when(n == 0, F.lit(0.0)).otherwise(tenths / F.greatest(n * 10, F.lit(1)))
 
 
 def net_charge(p: Column) -> Column:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +10,13 @@ from pyspark.sql import functions as F
 from helixframe import constants as C
 from helixframe.functions import protein as P
 from helixframe.functions import sequence as S
-from helixframe.operators import scans
+from helixframe.operators import ordered, scans
+from helixframe.storage import stored
 
 #: A batch of sequences: so many at most, and so many letters.
 BATCH_SEQUENCES, BATCH_LETTERS = 100, 500_000
+#: Places of a range in which the starts of batches are followed by one task.
+RANGE = 1 << 16
 #: Drug targets are looked for in so many sequences of the comprehensive analysis, which is its feature.
 DRUG_SEQUENCES = 20
 
@@ -131,46 +133,84 @@ def chunks(seqs: DataFrame, size: int = BATCH_LETTERS) -> DataFrame:
     return rows.select("seq_idx", F.when(F.col("large"), F.col("k") + 1).alias("chunk"), F.substring(F.col("s"), F.col("k") * size + 1, F.lit(size)).alias("sequence"))
 
 
+def _leaps(n: np.ndarray, many: int, letters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place, taken as a batch's start, the next start and the batches up to it (a large sequence has one a chunk)."""
+    ends = np.r_[0, np.cumsum(n)]
+    at, large = np.arange(len(n)), n > letters
+    next_large = np.minimum.accumulate(np.where(large, at, len(n))[::-1])[::-1]
+    to = np.minimum(np.minimum(np.searchsorted(ends, ends[:-1] + letters, "right") - 1, at + many), next_large)
+    return np.where(large, at + 1, to), np.where(large, -(-n // letters), 1)
+
+
 def greedy_batches(seqs: DataFrame, many: int = BATCH_SEQUENCES, letters: int = BATCH_LETTERS) -> DataFrame:
     """seq_idx, chunk, batch: whole sequences in order of seq_idx, a new batch before ``many`` or ``letters`` are
     passed; each chunk of a large sequence is a batch of its own.
 
-    Only ids and lengths go to the one task that walks them in order; the greedy rule needs that order.
-    Sequences stay where they are and take their batch by a join.
+    The rule is sequential, but a batch spans at most ``many`` places. So a range of places maps each of the ``many`` places at
+    which its first batch may start to that of the next range and to the batches between. These maps are joined to those of ever
+    longer runs of ranges, which gives every range its first start and its first number; then each range numbers its own rows.
+    Only ids and lengths move. A null sequence counts as empty; sequences of one id follow by length.
     """
-    rows = seqs.select("seq_idx", F.length("sequence").alias("n"))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, held, total = 0, 0, 0
-        for batch in batches:
-            out = []
-            for i, n in zip(batch["seq_idx"].tolist(), batch["n"].tolist()):
-                if n > letters:
-                    number += held > 0
-                    held = total = 0
-                    for k in range(-(-n // letters)):
-                        out.append((i, k + 1, number))
-                        number += 1
-                    continue
-                if held and (held >= many or total + n > letters):
-                    number, held, total = number + 1, 0, 0
-                out.append((i, None, number))
-                held, total = held + 1, total + n
-            yield pd.DataFrame(out, columns=["seq_idx", "chunk", "batch"]).astype({"chunk": "Int64"})
-
-    return rows.coalesce(1).sortWithinPartitions("seq_idx").mapInPandas(walk, "seq_idx long, chunk long, batch long")
+    size = max(RANGE, many)
+    rows = seqs.select(F.col("seq_idx").cast("long").alias("seq_idx"), F.coalesce(F.length("sequence"), F.lit(0)).cast("long").alias("n"), F.monotonically_increasing_id().alias("k"))
+    placed = ordered.running(rows, ["seq_idx", "n", "k"]).drop("k")
+    spread = stored(ordered.blocks(placed, size, after=many))
+
+    def follow(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at")
+        block = int(group["block"].iloc[0])
+        to, cost = _leaps(group["n"].to_numpy(np.int64), many, letters)
+        own = int((group["at"] // size == block).sum())
+        # Places from the end of the range on stay; every round doubles the batches followed.
+        to, cost = np.r_[to[:own], np.arange(own, len(group) + 1)], np.r_[cost[:own], np.zeros(len(group) + 1 - own, np.int64)]
+        for _ in range(own.bit_length()):
+            to, cost = to[to], cost + cost[to]
+        first = np.arange(min(many, own))
+        return pd.DataFrame({"block": block, "first": first, "next": to[first] - own, "batches": cost[first]})
+
+    leap = spread.groupBy("block").applyInPandas(follow, "block long, first long, next long, batches long")
+    spark = seqs.sparkSession
+    ranges = (placed.agg(F.max("at")).first()[0] or 0) // size + 1
+    known, run = spark.createDataFrame([(0, 0, 0)], "block long, first long, number long"), 1
+    leap = stored(leap) if ranges > 1 else leap
+    while run < ranges:
+        ahead = known.join(leap, ["block", "first"]).select((F.col("block") + run).alias("block"), F.col("next").alias("first"), (F.col("number") + F.col("batches")).alias("number"))
+        known = stored(known.unionByName(ahead))
+        after = leap.select((F.col("block") - run).alias("block"), F.col("first").alias("next"), F.col("next").alias("then"), F.col("batches").alias("more"))
+        leap = stored(leap.join(after, ["block", "next"]).select("block", "first", F.col("then").alias("next"), (F.col("batches") + F.col("more")).alias("batches")))
+        run *= 2
+
+    def number(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at")
+        block, at, batch = (int(group[c].iloc[0]) for c in ("block", "first", "number"))
+        n = group["n"].to_numpy(np.int64)
+        to, cost = _leaps(n, many, letters)
+        own = int((group["at"] // size == block).sum())
+        out = np.full(own, batch - 1)
+        while at < own:
+            out[at : to[at]] = batch
+            at, batch = int(to[at]), batch + int(cost[at])
+        ids, n = group["seq_idx"].to_numpy()[:own], n[:own]
+        chunks = np.where(n > letters, -(-n // letters), 1)
+        row = np.repeat(np.arange(own), chunks)
+        nth = np.arange(len(row)) - (np.cumsum(chunks) - chunks)[row]
+        chunk = pd.array(nth + 1, "Int64")
+        chunk[n[row] <= letters] = pd.NA
+        return pd.DataFrame({"seq_idx": ids[row], "chunk": chunk, "batch": out[row] + nth})
+
+    return spread.join(known, "block").groupBy("block").applyInPandas(number, "seq_idx long, chunk long, batch long")
 
 
 def batch_rollup(seqs: DataFrame, min_length: int = 300, many: int = BATCH_SEQUENCES, letters: int = BATCH_LETTERS) -> DataFrame:
     """metric, value over the batches: ORFs, genes by each batch's own minimum, long genes (1000 on), their mean length, signatures, motifs."""
-    placed = greedy_batches(seqs, many, letters).select("seq_idx", F.coalesce("chunk", F.lit(0)).alias("chunk"), "batch")
+    placed = stored(greedy_batches(seqs, many, letters).select("seq_idx", F.coalesce("chunk", F.lit(0)).alias("chunk"), "batch"))
     rows = chunks(seqs, letters).withColumn("chunk", F.coalesce("chunk", F.lit(0))).join(placed, ["seq_idx", "chunk"])
-    rows = rows.select((F.col("batch") * 1_000_000 + F.xxhash64("seq_idx") % 1_000_000).alias("old"), "batch", "seq_idx", "chunk", "sequence").drop("old")
     n = F.length("sequence")
     least = rows.groupBy("batch").agg(F.sum(n).alias("t"), F.avg(n).alias("m"))
     least = least.select("batch", F.when(F.col("t") < 50_000, F.greatest(F.lit(60), (F.col("m") * 0.3).cast("int"))).otherwise(min_length).alias("min_length"))
     keyed = rows.select(F.struct("batch", "seq_idx", "chunk").alias("seq_idx"), "sequence")
-    found = scans.orfs(scans.frames(keyed), "strand").select(F.col("seq_idx.batch").alias("batch"), "orf_length").join(F.broadcast(least), "batch")
+    # Batches hold a bounded number of letters, so that their ORFs are evenly dealt.
+    found = scans.orfs(scans.frames(keyed), "strand").select(F.col("seq_idx.batch").alias("batch"), "orf_length").join(least, "batch")
     kept = F.col("orf_length") >= F.col("min_length")
     genes = found.agg(
         F.count("*").alias("total_orfs_found"), F.count_if(kept).alias("protein_coding_orfs"), F.count_if(kept & (F.col("orf_length") >= 1000)).alias("long_orfs"),

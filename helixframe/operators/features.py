@@ -39,8 +39,7 @@ def dense_kmers(seqs: DataFrame, k: int = 3, letters: list[str] | None = None) -
     k = 2 if len(letters) ** k > MOST_WORDS else k
     words = ["".join(w) for w in product(letters, repeat=k)]
     n = F.length("sequence") - k + 1
-    every = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring("sequence", i, F.lit(k))))
-    counts = seqs.select("seq_idx", F.explode(every).alias("word")).groupBy("seq_idx", "word").count()
+    counts = seqs.select("seq_idx", F.explode(S.words(F.col("sequence"), k)).alias("word")).groupBy("seq_idx", "word").count()
     maps = counts.groupBy("seq_idx").agg(F.map_from_entries(F.collect_list(F.struct("word", "count"))).alias("counts"))
     found = seqs.join(maps, "seq_idx", "left")
     total = F.greatest(n, F.lit(1))
@@ -127,7 +126,7 @@ def evolution_features(seqs: DataFrame) -> DataFrame:
     s = F.col("sequence")
     n, known = F.length(s), F.filter(S.frame_codons(s), lambda c: c.rlike("^[ACGT]{3}$"))
     many = lambda ps: reduce(lambda a, b: a + b, [S.occurrences(s, p) for p in ps])
-    six = F.transform(F.sequence(F.lit(1), F.greatest(n - 5, F.lit(1))), lambda i: F.substring(s, i, F.lit(6)))
+    six = S.words(s, 6)
     return seqs.select(
         "seq_idx", S.ratio(F.size(F.filter(known, lambda c: c.isin(*PREFERRED))), F.size(known)).alias("bias_score"), F.size(F.array_distinct(known)).alias("codons"),
         F.when(n > 1, many(("AG", "GA", "CT", "TC")) / F.greatest(n - 1, F.lit(1))).otherwise(0.0).alias("transition_ratio"),
@@ -150,5 +149,6 @@ def biological_features(seqs: DataFrame, kind: str = "dna") -> DataFrame:
 
 def one_hot_3d(df: DataFrame, column: str, width: int, letters: str = "ACGT") -> DataFrame:
     """``one_hot``: for each place an array of 0 and 1 over the fixed alphabet; padding is all zeros."""
-    place = lambda i: F.transform(F.array(*map(F.lit, letters)), lambda x: F.coalesce(F.substring(F.col(column), i, F.lit(1)) == x, F.lit(False)).cast("int"))
-    return df.withColumn("one_hot", F.transform(F.sequence(F.lit(1), F.lit(width)), place))
+    known = F.array(*map(F.lit, letters))
+    rows = F.transform(F.slice(F.coalesce(S.letters(F.col(column)), F.array().cast("array<string>")), 1, width), lambda c: F.transform(known, lambda x: (x == c).cast("int")))
+    return df.withColumn("one_hot", F.slice(F.concat(rows, F.array_repeat(F.array_repeat(F.lit(0), len(letters)), width)), 1, width))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from itertools import product
 
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.storage import stored
+
 #: Rows of a block that a task compares with all queries of a block at once.
 BLOCK = 4096
 
@@ -64,17 +65,6 @@ def impute_nearest(df: DataFrame, key: str, column: str, features: list[str], k:
     return out.withColumn(column, F.coalesce(F.col(column).cast("double"), "__mean")).select(*df.columns)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the session's shared folder (spark.checkpoint.dir, else its warehouse) and read again.
-
-    Rounds of an iteration then start from a table, and lost executors do not replay all rounds.
-    """
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    df.write.parquet(path := f"{base.rstrip('/')}/round-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def min_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node reachable over undirected edges; labels halve their distance each round."""
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))

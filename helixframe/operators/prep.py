@@ -7,6 +7,7 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions import sequence as S
 from helixframe.operators import profile
 
 
@@ -121,8 +122,9 @@ def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2) ->
 
 def integer_encode(df: DataFrame, column: str, width: int, alphabet: str = "ACGT") -> DataFrame:
     """1-based codes of the letters, 0 for padding and unknown letters."""
-    code = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.instr(F.lit(alphabet), F.nullif(F.substring(F.col(column), i, F.lit(1)), F.lit(""))))
-    return df.withColumn("codes", F.transform(code, lambda x: F.coalesce(x, F.lit(0))))
+    letters = F.slice(F.coalesce(S.letters(F.col(column)), F.array().cast("array<string>")), 1, width)
+    codes = F.transform(letters, lambda x: F.instr(F.lit(alphabet), x))
+    return df.withColumn("codes", F.slice(F.concat(codes, F.array_repeat(F.lit(0), width)), 1, width))
 
 
 def one_hot(df: DataFrame, column: str, width: int, alphabet: str = "ACGT") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -56,17 +57,25 @@ def promoters(seqs: DataFrame) -> DataFrame:
 
 
 def cpg_islands(seqs: DataFrame, width: int = 200, step: int = 50) -> DataFrame:
-    """Windows with over half G and C and over 0.6 percent CpG; windows are not merged. ``width`` is a multiple of ``step``."""
-    rows = seqs.select("seq_idx", F.upper("sequence").alias("sequence"))
-    cut = F.regexp_extract_all("sequence", F.lit(f"(?s)(.{{{step}}})"), F.lit(1))
-    window = cut
-    for j in range(1, width // step):
-        window = F.zip_with(window, F.slice(cut, j + 1, F.greatest(F.size(cut), F.lit(1))), lambda a, b: F.concat(a, b))
-    w = rows.select("seq_idx", F.length("sequence").alias("n"), F.posexplode(window).alias("k", "part")).withColumn("start", F.col("k") * step)
-    w = w.where(F.col("part").isNotNull() & (F.col("start") < F.col("n") - width))
-    part = F.col("part")
-    w = w.select("seq_idx", "start", (S.count_of(part, "CG") / width).alias("gc"), (S.occurrences(part, "CG") * 100 / width).alias("cpg"))
-    return w.where("gc > 0.5 and cpg > 0.6").select(
+    """Windows with over half G and C and over 0.6 percent CpG; windows are not merged. ``width`` is a multiple of ``step``.
+
+    Pieces of ``step`` letters are counted once; a window adds the counts of its pieces and the pairs across their borders.
+    """
+    u = F.upper("sequence")
+    cut = F.regexp_extract_all(u, F.lit(f"(?s)(.{{{step}}})"), F.lit(1))
+    counted = F.transform(
+        cut, lambda x: F.struct(S.count_of(x, "CG").alias("gc"), S.occurrences(x, "CG").alias("cg"), x.endswith("C").alias("c"), x.startswith("G").alias("g"))
+    )
+    windows = F.ceil((F.length(u) - width) / step).cast("int")
+    pieces = seqs.select("seq_idx", windows.alias("windows"), counted.alias("x")).where("windows > 0")
+    many = width // step
+    gc = lambda i: reduce(lambda a, b: a + b, [F.col("x")[i + j]["gc"] for j in range(many)])
+    cg = lambda i: reduce(
+        lambda a, b: a + b, [F.col("x")[i + j]["cg"] for j in range(many)] + [(F.col("x")[i + j]["c"] & F.col("x")[i + j + 1]["g"]).cast("int") for j in range(many - 1)]
+    )
+    found = F.transform(F.sequence(F.lit(0), F.col("windows") - 1), lambda i: F.struct((i * step).alias("start"), (gc(i) / width).alias("gc"), (cg(i) * 100 / width).alias("cpg")))
+    w = pieces.select("seq_idx", F.explode(F.filter(found, lambda x: (x["gc"] > 0.5) & (x["cpg"] > 0.6))).alias("w")).select("seq_idx", "w.*")
+    return w.select(
         "seq_idx", "start", (F.col("start") + width).alias("end"), "gc", "cpg", F.least(F.col("cpg") / 2, F.lit(1.0)).alias("methylation")
     )
 
