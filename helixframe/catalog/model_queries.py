@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.catalog.base import load, query, r6, seqs
 from helixframe.catalog.oracles import _PRED
+from helixframe.ml import explain
 from helixframe.ml import models as M
 from helixframe.ml import sequence_models as Q
 from helixframe.ml import training as T
@@ -171,6 +172,21 @@ def linear_shap(spark, d):
     return M.linear_contributions(model, p, [means["a"], means["b"]])
 
 
+@query
+def tree_shap(spark, d):
+    """Each vector's parts of the margin of boosted trees that tell odd labels from even ones."""
+    rows = M.embedded(load(spark, d, "embeddings")).select("id", (F.col("label") % 2).alias("label"), "raw")
+    return explain.tree_contributions(M.classifier("gradient_boosting").setFeaturesCol("raw").fit(rows), rows, "raw")
+
+
+@query
+def tree_shap_summary(spark, d):
+    """The ten features that move a forest's votes most, over all vectors and labels."""
+    rows = M.embedded(load(spark, d, "embeddings"))
+    model = M.classifier("random_forest").setFeaturesCol("raw").fit(rows)
+    return explain.mean_sizes(explain.tree_contributions(model, rows, "raw"), [f"e{i}" for i in range(model.numFeatures)], 10)
+
+
 @query
 def one_click(spark, d):
     o = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.month("o_orderdate").alias("month"), "o_orderpriority")
