@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.catalog.base import load, query, r6, seqs
 from helixframe.catalog.oracles import _PRED
-from helixframe.ml import explain
+from helixframe.ml import budget, explain, search
 from helixframe.ml import models as M
 from helixframe.ml import sequence_models as Q
 from helixframe.ml import training as T
@@ -144,6 +144,44 @@ def cross_validation(spark, d):
     return T.cross_validated(M.embedded(load(spark, d, "embeddings")), "naive_bayes", classes=10, folds=3)
 
 
+@query
+def ridge_search(spark, d):
+    """Penalties of a line through retail prices by size, over three folds, all from one scan."""
+    from pyspark.ml.functions import array_to_vector
+
+    p = load(spark, d, "part").select((F.col("p_partkey") % 3).cast("int").alias("k"), F.col("p_retailprice").alias("label"), array_to_vector(F.array(F.col("p_size").cast("double"))).alias("raw"))
+    out = search.ridge_search(p, [0.0, 1.0, 100.0, 10_000.0], F.col("k"))
+    return out.select("alpha", "fold", r6(F.col("score"), "score"), r6(F.col("mean"), "mean"), "rank")
+
+
+ORACLES["ridge_search"] = """with p as (select p_partkey % 3 as fold, p_size::double as x, p_retailprice::double as y from part), f as (select unnest(range(3)) as fold), a as (select unnest([0, 1, 100, 10000])::double as alpha),
+fit as (select f.fold, count(*) as n, avg(x) as mx, avg(y) as my, covar_pop(x, y) * count(*) as sxy, var_pop(x) * count(*) as sxx from f join p on p.fold <> f.fold group by all),
+w as (select fold, alpha, sxy / (sxx + alpha) as w, my - sxy / (sxx + alpha) * mx as b from fit, a),
+s as (select alpha, p.fold, 1 - sum(power(y - b - w * x, 2)) / (var_pop(y) * count(*)) as score from p join w on w.fold = p.fold group by all),
+m as (select alpha, avg(score) as mean from s group by all), r as (select *, row_number() over (order by mean desc, alpha)::int as rank from m)
+select alpha, fold::int as fold, round(score, 6) as score, round(mean, 6) as mean, rank from s join r using (alpha)"""
+
+
+@query
+def naive_bayes_search(spark, d):
+    rows = M.embedded(load(spark, d, "embeddings"))
+    return search.naive_bayes_search(rows, [1e-9, 1e-3, 0.1, 1.0], search.hashed_fold("id", 3))
+
+
+@query
+def random_search(spark, d):
+    """Six of the combinations of a tree's parameters, drawn with a seed."""
+    rows = M.embedded(load(spark, d, "embeddings"))
+    return M.tuned(rows, M.classifier("decision_tree"), {"maxDepth": [2, 4, 8], "minInstancesPerNode": [1, 2, 4], "maxBins": [16, 32]}, many=6)[1]
+
+
+@query
+def budgeted_models(spark, d):
+    """Three models within five minutes, with what became of each."""
+    rows = M.embedded(load(spark, d, "embeddings"))
+    return budget.best_model(rows, ["naive_bayes", "decision_tree", "logistic_regression"], 300, 10)[1].drop("run", "seconds")
+
+
 @query
 def regression_models(spark, d):
     p = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("label"), F.col("p_size").cast("double").alias("s"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from helixframe.catalog.base import NUMBERS, PART, load, mixed, query, r6, seqs
 from helixframe.catalog.oracles import SEQS
 from helixframe.functions import sequence as S
-from helixframe.operators import metrics, prep, profile, relational, validation
+from helixframe.operators import information, metrics, prep, profile, relational, validation
 from helixframe.sources import readers, sinks
 from helixframe.storage import new_path
 
@@ -249,19 +249,45 @@ def _mi(c: str) -> str:
 ORACLES["mutual_information"] = " union all ".join(map(_mi, NUMBERS))
 
 
+#: Components of an embedding, each a feature of its own.
+COMPONENTS = [f"e{i}" for i in range(64)]
+
+
+def components(spark, d) -> DataFrame:
+    e = load(spark, d, "embeddings")
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(COMPONENTS)])
+
+
+_LONG = "v as (select vec_id as id, label, i, embedding[i + 1]::double as x from embeddings, range(64) as t(i))"
+
+
 @query
 def select_best(spark, d):
-    """The columns that stay when the three best of eight embedding components are kept."""
-    e = load(spark, d, "embeddings")
-    wide = e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    kept = prep.select_best(wide, [f"e{i}" for i in range(8)], "label", 3)
+    """The columns that stay when the three best of all embedding components are kept."""
+    kept = prep.select_best(components(spark, d), COMPONENTS, "label", 3)
     return spark.createDataFrame([(c,) for c in kept.columns], "column string")
 
 
-ORACLES["select_best"] = f"""select unnest(['vec_id', 'label']) as "column" union all (select feature from ({' union all '.join(
-    f'''select 'e{i}' as feature, (sum(n * power(m - g, 2)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) as f from
-(select count(*) as n, avg(x) as m, sum(power(x, 2)) - count(*) * power(avg(x), 2) as ss from (select label, embedding[{i + 1}]::double as x from embeddings) group by label),
-(select avg(embedding[{i + 1}]::double) as g from embeddings)''' for i in range(8))}) order by f desc limit 3)"""
+ORACLES["select_best"] = f"""with {_LONG}, per as (select i, label, count(*) as n, avg(x) as m, sum(power(x, 2)) - count(*) * power(avg(x), 2) as ss from v group by all), every as (select i, avg(x) as g from v group by i),
+f as (select i, (sum(n * power(m - g, 2)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) as f from per join every using (i) group by i)
+select unnest(['vec_id', 'label']) as "column" union all (select 'e' || i from f order by f desc limit 3)"""
+
+
+@query
+def neighbour_information(spark, d):
+    """What each embedding component tells of the label, by the three nearest neighbours of its class."""
+    return information.mutual_information(components(spark, d), "vec_id", COMPONENTS, "label").select("feature", r6(F.col("information"), "information"))
+
+
+def _digamma(n: str) -> str:
+    x = f"({n} + 6.0::double)"
+    return f"(ln({x}) - 1 / (2 * {x}) - 1 / (12 * power({x}, 2)) + 1 / (120 * power({x}, 4)) - 1 / (252 * power({x}, 6)) - " + " - ".join(f"1 / ({n} + {k}.0::double)" for k in range(6)) + ")"
+
+
+ORACLES["neighbour_information"] = f"""with {_LONG}, far as (select a.i, a.id, a.x, list_sort(list(abs(a.x - b.x)))[least(3, count(*))] as d, least(3, count(*)) as k, count(*) + 1 as size
+from v as a join v as b on a.i = b.i and a.label = b.label and a.id <> b.id group by all),
+m as (select f.i, f.id, f.k, f.size, count(*) as m from far as f join far as o on f.i = o.i where abs(o.x - f.x) < f.d or o.x = f.x group by all)
+select 'e' || i as feature, round(greatest({_digamma("count(*)")} + avg({_digamma("k")}) - avg({_digamma("size")}) - avg({_digamma("m")}), 0), 6) as information from m group by i"""
 
 
 @query

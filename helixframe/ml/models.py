@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as K
 from pyspark.ml import clustering as G
@@ -9,10 +11,12 @@ from pyspark.ml import regression as R
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.ml import search
+
 
 def classifier(name: str, n: int = 1, classes: int = 2):
     """A classifier by name; unknown names give a random forest. ``n``: rows, for penalties per row."""
@@ -52,16 +56,18 @@ def embedded(embeddings: DataFrame, label: str = "label") -> DataFrame:
     return embeddings.select(F.col("vec_id").alias("id"), F.col(label).cast("double").alias("label"), array_to_vector("embedding").alias("raw"))
 
 
-def tuned(train: DataFrame, estimator, grid: dict[str, list], folds: int = 3) -> tuple[PipelineModel, float]:
-    """Grid search by cross-validated accuracy."""
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), values)
-    search = CrossValidator(
-        estimator=pipeline(estimator), estimatorParamMaps=builder.build(), numFolds=folds, seed=42, parallelism=2,
+def tuned(train: DataFrame, estimator, grid: dict[str, list], folds: int = 3, many: int | None = None, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+    """The best pipeline by cross-validated accuracy over the grid, or over ``many`` combinations drawn from it, and all of them with
+    their mean accuracy and rank, in the grid's order on ties."""
+    tried = search.grid(grid, many, seed)
+    maps = [{estimator.getParam(k): v for k, v in one.items()} for one in tried]
+    found = CrossValidator(
+        estimator=pipeline(estimator), estimatorParamMaps=maps, numFolds=folds, seed=seed, parallelism=2,
         evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
     ).fit(train)
-    return search.bestModel, max(search.avgMetrics)
+    order = sorted(range(len(tried)), key=lambda i: (-found.avgMetrics[i], i))
+    rows = [(json.dumps(one, sort_keys=True), float(found.avgMetrics[i]), order.index(i) + 1) for i, one in enumerate(tried)]
+    return found.bestModel, train.sparkSession.createDataFrame(rows, "candidate string, accuracy double, rank int")
 
 
 def principal_components(rows: DataFrame, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import profile
+from helixframe.operators import information, profile
 
 
 def impute(df: DataFrame, columns: list[str], how: str) -> DataFrame:
@@ -186,9 +186,16 @@ def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int
     return n.groupBy("feature").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("score"))
 
 
-def select_best(df: DataFrame, columns: list[str], label: str, k: int, how: str = "f_score") -> DataFrame:
-    """``df`` with the k best of ``columns`` by F score or mutual information, and all other columns."""
-    scores = anova_f(df, columns, label).withColumnRenamed("f_score", "score") if how == "f_score" else mutual_information(df, columns, label)
+def select_best(df: DataFrame, columns: list[str], label: str, k: int, how: str = "f_score", key: str | None = None) -> DataFrame:
+    """``df`` with the k best of ``columns`` by F score, by mutual information in bins (``bins``) or by nearest neighbours
+    (``neighbours``, over ``key``), and all other columns."""
+    found = {
+        "f_score": lambda: anova_f(df, columns, label).withColumnRenamed("f_score", "score"), "bins": lambda: mutual_information(df, columns, label),
+        "neighbours": lambda: information.mutual_information(df, key, columns, label).withColumnRenamed("information", "score"),
+    }
+    if how not in found or how == "neighbours" and key is None:
+        raise ValueError(f"no way to select by {how}" if how not in found else "neighbours need a key")
+    scores = found[how]()
     best = [r["feature"] for r in scores.orderBy(F.desc("score"), "feature").limit(k).collect()]
     return df.select(*[c for c in df.columns if c not in columns or c in best])
 
