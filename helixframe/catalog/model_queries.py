@@ -10,6 +10,7 @@ from helixframe.ml import budget, explain, search
 from helixframe.ml import models as M
 from helixframe.ml import sequence_models as Q
 from helixframe.ml import training as T
+from helixframe.ml.bagged import BaggedForest
 from helixframe.operators import neighbours
 
 ORACLES: dict[str, str] = {}
@@ -139,6 +140,20 @@ def model_comparison(spark, d):
     return T.compare(rows, ["decision_tree", "logistic_regression", "naive_bayes"], classes=10)
 
 
+@query
+def nonlinear_models(spark, d):
+    """Nearest neighbours, a kernel machine and a network on the vectors' labels."""
+    rows = M.embedded(load(spark, d, "embeddings"))
+    return T.compare(rows, ["knn", "svm_rbf", "mlp"], classes=10)
+
+
+@query
+def out_of_bag(spark, d):
+    """The labels of all vectors by the trees that have not seen them, of a forest of 500."""
+    rows = M.embedded(load(spark, d, "embeddings"))
+    return BaggedForest(depth=10, features="raw").fit(rows).unseen(rows)
+
+
 @query
 def cross_validation(spark, d):
     return T.cross_validated(M.embedded(load(spark, d, "embeddings")), "naive_bayes", classes=10, folds=3)
@@ -234,27 +249,27 @@ def one_click(spark, d):
 @query
 def gene_classifier(spark, d):
     s = labelled(spark, d)
-    return Q.model("gene_classifier", 20, 6).fit(s).predict(s)
+    return Q.model("gene_classifier").fit(s).predict(s)
 
 
 @query
 def pathogen_detector(spark, d):
     s = labelled(spark, d)
-    return Q.model("pathogen_detector", 20, 5).fit(s).predict(s)
+    return Q.model("pathogen_detector").fit(s).predict(s)
 
 
 @query
 def drug_target_predictor(spark, d):
     s = labelled(spark, d)
-    return Q.model("drug_target_predictor", 5, 3).fit(s).predict(s)
+    return Q.model("drug_target_predictor").fit(s).predict(s)
 
 
 @query
 def biomarker_discoverer(spark, d):
-    return Q.discover_biomarkers(labelled(spark, d), 50, 20)[1]
+    return Q.discover_biomarkers(labelled(spark, d))[1]
 
 
 @query
 def ensemble(spark, d):
     s = labelled(spark, d)
-    return T.consensus(Q.Ensemble(10, 4).fit({"gene_classifier": s, "drug_target_predictor": s}).predict(s))
+    return T.consensus(Q.Ensemble().fit({"gene_classifier": s, "drug_target_predictor": s}).predict(s))

@@ -15,12 +15,13 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.ml import search
+from helixframe.ml import kernels, search
 
 
 def classifier(name: str, n: int = 1, classes: int = 2):
-    """A classifier by name; unknown names give a random forest. ``n``: rows, for penalties per row."""
+    """A classifier by name; another name raises an error. ``n``: rows, for penalties per row."""
     boosted = lambda **a: K.GBTClassifier(**a) if classes == 2 else K.OneVsRest(classifier=K.GBTClassifier(**a))
+    machine = lambda **a: K.LinearSVC(**a) if classes == 2 else K.OneVsRest(classifier=K.LinearSVC(**a), featuresCol=a.get("featuresCol", "features"))
     made = {
         "random_forest": lambda: K.RandomForestClassifier(numTrees=100, maxDepth=10, seed=42),
         "gradient_boosting": lambda: boosted(maxIter=20, stepSize=0.1, maxDepth=5, seed=42),
@@ -28,9 +29,12 @@ def classifier(name: str, n: int = 1, classes: int = 2):
         "logistic_regression": lambda: K.LogisticRegression(regParam=1 / max(1, n), elasticNetParam=0.0, standardization=False),
         "naive_bayes": lambda: K.NaiveBayes(modelType="gaussian"),
         "decision_tree": lambda: K.DecisionTreeClassifier(maxDepth=10, seed=42),
-        "svm": lambda: K.LinearSVC(regParam=0.01) if classes == 2 else K.OneVsRest(classifier=K.LinearSVC(regParam=0.01)),
+        "svm": lambda: machine(regParam=0.01),
+        "svm_rbf": lambda: Pipeline(stages=[kernels.RandomFourier(), machine(regParam=1 / max(1, n), standardization=False, featuresCol="kernel")]),
+        "knn": lambda: kernels.NearestNeighbours(k=5),
+        "mlp": lambda: kernels.Network(),
     }
-    return made.get(name, made["random_forest"])()
+    return _made(made, name)
 
 
 def regressor(name: str, n: int = 1):
@@ -41,8 +45,15 @@ def regressor(name: str, n: int = 1):
         "ridge": lambda: R.LinearRegression(regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False),
         "lasso": lambda: R.LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False),
         "decision_tree": lambda: R.DecisionTreeRegressor(maxDepth=10, seed=42),
+        "knn": lambda: kernels.NearestNeighbours(k=5, regression=True),
     }
-    return made.get(name, made["random_forest"])()
+    return _made(made, name)
+
+
+def _made(made: dict, name: str):
+    if name not in made:
+        raise ValueError(f"unknown model {name}; known are {', '.join(made)}")
+    return made[name]()
 
 
 def pipeline(estimator, columns: list[str] | None = None, scaled: bool = True) -> Pipeline:

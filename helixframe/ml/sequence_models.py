@@ -11,8 +11,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.ml.bagged import BaggedForest
 from helixframe.ml.training import split
 from helixframe.operators import features, metrics
+from helixframe.storage import stored
 
 
 @dataclass
@@ -93,15 +95,23 @@ def model(name: str, trees: int | None = None, depth: int | None = None) -> Sequ
     return out
 
 
-def discover_biomarkers(seqs: DataFrame, top: int = 50, trees: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scores of training and validation rows, and the most important features."""
+def discover_biomarkers(seqs: DataFrame, top: int = 50, trees: int = 500, depth: int = 20, group: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Scores of training rows, of rows that trees have not seen (out of bag) and of validation rows, and the most important features."""
     fit, held = split(seqs, "seq_idx")
-    fitted = model("biomarker_discoverer", trees, 10).fit(fit)
-    score = lambda rows, part: metrics.weighted_scores(fitted.predict(rows).join(rows.select("seq_idx", F.col("label").cast("string").alias("label")), "seq_idx")).select(F.lit(part).alias("part"), "accuracy")
-    values = fitted.model.stages[-1].featureImportances.toArray()
-    rows = [(n, float(v)) for n, v in zip(fitted.names(), values)]
-    best = seqs.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
-    return score(fit, "train").unionByName(score(held, "validation")), best
+    table = model("biomarker_discoverer")
+    table.words = features.vocabulary(fit, table.sizes, table.many)
+    labels = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="skip").fit(fit)
+    marked = lambda part: table.table(part).join(labels.transform(part).select("seq_idx", F.col("target").alias("label")), "seq_idx")
+    rows = stored(marked(fit))
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(rows)
+    rows, other = scaler.transform(rows), scaler.transform(stored(marked(held)))
+    forest = BaggedForest(trees, group, depth, key="seq_idx").fit(rows)
+    score = lambda told, part: metrics.weighted_scores(told.select("label", "prediction")).select(F.lit(part).alias("part"), "accuracy")
+    asked = lambda some: forest.predict(some).join(some.select("seq_idx", "label"), "seq_idx")
+    scores = score(asked(rows), "train").unionByName(score(forest.unseen(rows), "out_of_bag")).unionByName(score(asked(other), "validation"))
+    ranked = [(n, float(v)) for n, v in zip(table.names(), forest.importances())]
+    best = seqs.sparkSession.createDataFrame(ranked, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
+    return scores, best
 
 
 class Ensemble:
