@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from helixframe import constants as C
+from helixframe import sql
 from helixframe.catalog.base import load, mixed, query, r6, seqs
 from helixframe.catalog.oracles import _PROTEINS, _SEQS_BASE, _share, _occ, _translated  # noqa: F401
 from helixframe.catalog.oracles import ORACLES as BASE
@@ -93,6 +94,22 @@ f as (select * from up left join o2 using (seq_idx) left join b using (seq_idx)
 )
 
 
+@query
+def sql_functions(spark, d):
+    """Features of sequences of all kinds in SQL alone, by the registered functions."""
+    sql.register(spark)
+    mixed(spark, d).createOrReplaceTempView("mixed_sequences")
+    return spark.sql("""with u as (select seq_idx, upper(sequence) as s from mixed_sequences)
+        select seq_idx, round(gc_content(s), 6) as gc_content, round(sequence_entropy(s), 6) as entropy, round(melting_temperature(s), 6) as melting_temp, round(repeat_score(s), 6) as repeat_content,
+        round(cpg_score(s), 6) as cpg_score, round(periodicity(s), 6) as periodicity, round(codon_bias(s), 6) as codon_bias, cast(orf_longest(s) as bigint) as longest, cast(orf_count(s) as bigint) as orfs from u""")
+
+
+_FEATURE = dict(_NAMED)
+ORACLES["sql_functions"] = ORACLES["feature_vector"].split(" union all ")[0].rsplit("select seq_idx, 'A_freq'", 1)[0] + "select seq_idx, round(coalesce(h, 0), 6) as entropy, coalesce(longest, 0)::bigint as longest, coalesce(orfs, 0)::bigint as orfs, " + ", ".join(
+    f"round(({_FEATURE[k]})::double, 6) as {k}" for k in ("gc_content", "melting_temp", "repeat_content", "cpg_score", "periodicity", "codon_bias")
+) + " from f"
+
+
 @query
 def vocabulary_transform(spark, d):
     """Shares of the 20 most frequent k-mers of 3 and 4 letters, summed over sequences of all kinds."""
