@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from helixframe import constants as C
 from helixframe.functions.sequence import client_type, header_label
@@ -12,20 +14,28 @@ from helixframe.operators.validation import type_validation
 # The extensions and the size that an upload may have.
 ALLOWED = ("csv", "txt", "fasta", "fa", "fas", "fastq", "fq", "json", "xlsx", "tsv", "gbk", "gff")
 MOST_BYTES = 500 * 1024 * 1024
+#: What stands between two FASTA records.
+FASTA_SEPARATOR = "\n>"
 
 
-def fasta_records(spark: SparkSession, path: str) -> DataFrame:
-    """lines of each record, its header first. Records are split by the reader itself, so a large file is
-    read in parallel; text before the first header of a file is dropped. One row a file is broadcast."""
-    records = spark.read.option("lineSep", "\n>").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("early"), F.monotonically_increasing_id().alias("at")
-    )
+def source_lines(reader: DataFrameReader | DataStreamReader, path: str, separator: str) -> DataFrame:
+    """value, file, block (where its split begins) of the texts between separators, from a reader of tables or of streams."""
+    rows = reader.option("lineSep", separator).text(path)
+    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def fasta_records(lines: DataFrame) -> DataFrame:
+    """file, lines of each record, its header first, from ``source_lines`` of whole files cut at a line that starts with ">".
+
+    Records are split by the reader itself, so a large file is read in parallel; text before the first header of a
+    file is dropped. One row a file is joined."""
+    records = lines.withColumn("at", F.monotonically_increasing_id())
     # A record after the first of its file lost its ">" to the separator; the first one still has it, or is a preamble.
-    starts = records.where("early").groupBy("file").agg(F.min("at").alias("start"))
-    records = records.join(F.broadcast(starts), "file", "left")
+    starts = records.where("block = 0").groupBy("file").agg(F.min("at").alias("start"))
+    records = records.join(starts, "file", "left")
     value = F.when(F.col("value").startswith(">"), F.expr("substring(value, 2)")).when(F.col("at") == F.col("start"), F.lit(None)).otherwise(F.col("value"))
-    rows = records.select(value.alias("value")).where("value is not null and trim(value) <> ''")
-    return rows.select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    rows = records.select("file", value.alias("value")).where("value is not null and trim(value) <> ''")
+    return rows.select("file", F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
 
 
 def fasta(spark: SparkSession, path: str, comments: str = "skip") -> DataFrame:
@@ -34,11 +44,16 @@ def fasta(spark: SparkSession, path: str, comments: str = "skip") -> DataFrame:
     Text before the first header is dropped; lines that start with # are skipped, or kept as part of the
     sequence with ``comments='keep'``.
     """
-    rows = fasta_records(spark, path)
+    out = parsed_fasta(fasta_records(source_lines(spark.read, path, FASTA_SEPARATOR)), comments)
+    return out.select("id", "description", "sequence", "length", "label").where("id <> ''")
+
+
+def parsed_fasta(rows: DataFrame, comments: str = "skip") -> DataFrame:
+    """file, id, description, sequence, length, label of ``fasta_records``; an id may be empty."""
     header = F.trim(F.col("lines")[0])
     keep = F.filter(F.expr("slice(lines, 2, size(lines))"), lambda x: ~x.startswith("#") | F.lit(comments == "keep"))
     sequence = F.regexp_replace(F.array_join(keep, ""), r"\s", "")
-    out = rows.select(F.substring_index(header, " ", 1).alias("id"), header.alias("description"), sequence.alias("sequence")).where("id <> ''")
+    out = rows.select("file", F.substring_index(header, " ", 1).alias("id"), header.alias("description"), sequence.alias("sequence"))
     return out.withColumn("length", F.length("sequence")).withColumn("label", header_label(F.col("description")))
 
 
@@ -60,10 +75,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of each line of text files, ``line`` counting from 0 in its file.
 
     Files are read in splits: the lines of each are counted, and a split starts after those before it."""
-    rows = spark.read.text(path, lineSep="\n").select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r", "").alias("value"),
-    )
+    return numbered(source_lines(spark.read, path, "\n"))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """``numbered_lines`` of ``source_lines`` of whole files."""
+    rows = lines.select("file", "block", F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r", "").alias("value"))
     splits = rows.groupBy("file", "block").agg(F.min("at").alias("least"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("least")).alias("shift"))
@@ -72,11 +89,18 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """id, sequence, quality, length and mean phred of each read, from files of four-line records."""
+    return parsed_fastq(numbered_lines(spark, path)).where("well_formed").drop("file", "well_formed")
+
+
+def parsed_fastq(lines: DataFrame) -> DataFrame:
+    """file, id, sequence, quality, length, mean_quality of numbered lines, and whether a record has its signs and three lines at least."""
     place = F.pmod("line", F.lit(4))
     part = lambda k: F.max(F.when(place == k, F.col("value")))
-    records = numbered_lines(spark, path).groupBy("file", F.floor(F.col("line") / 4).alias("record"))
-    rows = records.agg(*[part(k).alias(f"l{k}") for k in range(4)]).where("l0 like '@%' and l2 is not null")
-    rows = rows.select(F.expr("substring(l0, 2)").alias("id"), F.col("l1").alias("sequence"), F.coalesce("l3", F.lit("")).alias("quality"))
+    records = lines.groupBy("file", F.floor(F.col("line") / 4).alias("record"))
+    rows = records.agg(*[part(k).alias(f"l{k}") for k in range(4)])
+    rows = rows.select(
+        "file", F.expr("substring(l0, 2)").alias("id"), F.col("l1").alias("sequence"), F.coalesce("l3", F.lit("")).alias("quality"), F.expr("coalesce(l0 like '@%' and l2 is not null, false)").alias("well_formed")
+    )
     total = F.expr("aggregate(filter(split(quality, ''), c -> c <> ''), 0, (a, c) -> a + ascii(c) - 33)")
     return rows.withColumn("length", F.length("sequence")).withColumn("mean_quality", total / F.greatest(F.length("quality"), F.lit(1)))
 
@@ -95,10 +119,10 @@ def sample(spark: SparkSession, path: str, rows: int = 10_000) -> DataFrame:
 
 
 def safe(spark: SparkSession, path: str, rows: int = 100_000) -> DataFrame | None:
-    """A sample of a delimited file, or None where it cannot be read."""
+    """A sample of a delimited file, or None where there is no such file or it has no columns; other errors show."""
     try:
         return sample(spark, path, rows)
-    except Exception:
+    except AnalysisException:
         return None
 
 
