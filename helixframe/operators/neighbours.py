@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.storage import stored
@@ -79,23 +79,79 @@ def min_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         label = new
 
 
+#: Products of the rows of two parts of cells up to which their rows are compared; halvings of a cell's side before they all are.
+COMPARED, HALVINGS = 4096, 40
+
+
 def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int) -> DataFrame:
     """key, cluster: the smallest key of the cluster's core rows, null for noise; a border row takes its smallest cluster.
 
-    Rows meet over the cells of a grid as wide as ``eps`` and their neighbours, for a few columns.
+    Rows lie in cells of a grid so small that all rows of a cell are within ``eps`` of each other. A cell of ``least`` rows is
+    core as a whole, and the core rows of a cell are of one cluster, so no pairs within a cell are looked at. Only rows of
+    smaller cells are compared with the cells around them, and two cells are linked if any two of their core rows are near. Rows with
+    null or NaN values are noise; the key must be unique. For a few columns, as a cell has (2 sqrt(columns) + 1)^columns around it.
     """
-    cell = lambda c: F.floor(F.col(c) / eps).cast("long")
-    rows = df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    rows = rows.na.drop().withColumns({f"c{i}": cell(f"x{i}") for i in range(len(columns))})
-    shifts = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(s)]) for s in product((-1, 0, 1), repeat=len(columns))])
-    spread = rows.withColumn("s", F.explode(shifts)).select(
-        F.col("id").alias("o"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(len(columns))], *[(F.col(f"c{i}") + F.col(f"s.d{i}")).alias(f"c{i}") for i in range(len(columns))]
-    )
-    gap: Column = sum(((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in range(len(columns))), F.lit(0.0))
-    near = stored(rows.join(spread, [f"c{i}" for i in range(len(columns))]).where(F.sqrt(gap) <= eps).select("id", "o"))
-    core = near.groupBy("id").count().where(F.col("count") >= least).select("id")
-    links = near.join(core, "id").join(core.withColumnRenamed("id", "o"), "o").select(F.col("id").alias("a"), F.col("o").alias("b"))
-    label = min_labels(links)
-    border = near.join(core, "id", "left_anti").join(label.withColumnRenamed("node", "o"), "o").groupBy("id").agg(F.min("label").alias("label"))
-    found = label.select(F.col("node").alias("id"), "label").unionByName(border)
+    dims = range(len(columns))
+    x, y = [f"x{i}" for i in dims], [f"y{i}" for i in dims]
+    side = eps / len(columns) ** 0.5 * (1 - 1e-9)
+    rows = df.select(F.col(key).alias("id"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"x{i}") for i, c in enumerate(columns)]).na.drop()
+    rows = stored(rows.withColumn("cell", F.array(*[F.floor(F.col(c) / side).cast("long") for c in x])))
+    gap = lambda a, b: F.sqrt(reduce(lambda p, q: p + q, [(F.col(i) - F.col(j)) * (F.col(i) - F.col(j)) for i, j in zip(a, b)]))
+
+    cells = stored(rows.groupBy("cell").agg(F.count("*").alias("n")))
+    reach = range(-int(len(columns) ** 0.5) - 1, int(len(columns) ** 0.5) + 2)
+    steps = [s for s in product(reach, repeat=len(columns)) if sum(max(abs(v) - 1, 0) ** 2 for v in s) * side * side <= eps * eps]
+    around = cells.select(F.col("cell").alias("a"), F.explode(F.array(*[F.array(*[(F.col("cell")[i] + s[i]) for i in dims]) for s in steps])).alias("b"))
+    around = stored(around.join(cells.select(F.col("cell").alias("b")), "b"))
+
+    small = rows.join(cells.where(F.col("n") < least).select("cell"), "cell")
+    other = lambda df, *more: df.select(F.col("cell").alias("b"), *[F.col(c).alias(d) for c, d in zip(x, y)], *more)
+    seen = small.withColumnRenamed("cell", "a").join(around, "a").join(other(rows), "b").where(gap(x, y) <= eps)
+    core = rows.join(cells.where(F.col("n") >= least).select("cell"), "cell", "left_semi").select("id").unionByName(
+        seen.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
+    )
+    core = stored(rows.join(core, "id"))
+    first = stored(core.groupBy("cell").agg(F.min("id").alias("first")))
+    pairs = around.where("a < b").join(first.select(F.col("cell").alias("a")), "a").join(first.select(F.col("cell").alias("b")), "b").select("a", "b")
+    near = _near_cells(core.select("cell", *x).distinct(), pairs, eps, side, x)
+    name = lambda c: first.select(F.col("cell").alias(c), F.col("first").alias(f"first_{c}"))
+    edges = near.join(name("a"), "a").join(name("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    label = min_labels(edges.unionByName(first.select(F.col("first").alias("a"), F.col("first").alias("b"))))
+    label = stored(first.join(label.withColumnRenamed("node", "first"), "first").select("cell", "label"))
+    found = core.select("id", "cell").join(label, "cell").select("id", "label")
+    rest = small.join(core.select("id"), "id", "left_anti").withColumnRenamed("cell", "a").join(around, "a")
+    border = rest.join(label.withColumnRenamed("cell", "b"), "b").join(other(core), "b").where(gap(x, y) <= eps).groupBy("id").agg(F.min("label").alias("label"))
+    found = found.unionByName(border)
     return df.select(F.col(key)).join(found.select(F.col("id").alias(key), F.col("label").alias("cluster")), key, "left")
+
+
+def _near_cells(points: DataFrame, pairs: DataFrame, eps: float, side: float, x: list[str]) -> DataFrame:
+    """The pairs (a, b) of cells that hold points (cell, x...; distinct) within ``eps`` of each other.
+
+    Cells are halved again and again. Of two parts the boxes around their points tell that all of their points are near or that none
+    are; what they leave open is compared if it is small, and else halved once more.
+    """
+    todo, out = pairs.select("a", "b", F.col("a").alias("pa"), F.col("b").alias("pb")), None
+    for level in range(1, HALVINGS + 1):
+        part = F.array(*[F.floor(F.col(c) / (side / 2**level)).cast("long") for c in x])
+        placed = points.withColumn("part", part)
+        boxes = placed.groupBy("cell", "part").agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in x for k, f in (("lo", F.min), ("hi", F.max))])
+        boxes = boxes.withColumn("whole", F.array(*[F.floor(F.col("part")[i] / 2).cast("long") for i in range(len(x))]) if level > 1 else F.col("cell"))
+        pick = lambda s: boxes.select(F.col("cell").alias(s), F.col("whole").alias(f"p{s}"), F.col("part").alias(f"q{s}"), F.col("n").alias(f"n{s}"), *[F.col(f"{k}_{c}").alias(f"{k}_{c}{s}") for c in x for k in ("lo", "hi")])  # noqa: B023, E731
+        met = todo.join(pick("a"), ["a", "pa"]).join(pick("b"), ["b", "pb"])
+        square = lambda gaps: F.sqrt(reduce(lambda p, q: p + q, [g * g for g in gaps]))
+        apart = square([F.greatest(F.col(f"lo_{c}a") - F.col(f"hi_{c}b"), F.col(f"lo_{c}b") - F.col(f"hi_{c}a"), F.lit(0.0)) for c in x])
+        wide = square([F.greatest(F.abs(F.col(f"hi_{c}a") - F.col(f"lo_{c}b")), F.abs(F.col(f"hi_{c}b") - F.col(f"lo_{c}a"))) for c in x])
+        met = stored(met.select("a", "b", "qa", "qb", (F.col("na") * F.col("nb")).alias("n"), (wide <= eps).alias("sure"), apart.alias("apart")).where(F.col("apart") <= eps))
+        few = F.lit(True) if level == HALVINGS else F.col("n") <= COMPARED
+        rows = lambda s, names: placed.select(F.col("cell").alias(s), F.col("part").alias(f"q{s}"), *[F.col(c).alias(n) for c, n in zip(x, names)])  # noqa: B023, E731
+        ours, theirs = [f"{c}_a" for c in x], [f"{c}_b" for c in x]
+        sure = met.where("sure").select("a", "b").distinct()
+        open_ = met.join(sure, ["a", "b"], "left_anti")
+        compared = open_.where(few).join(rows("a", ours), ["a", "qa"]).join(rows("b", theirs), ["b", "qb"]).where(square([F.col(i) - F.col(j) for i, j in zip(ours, theirs)]) <= eps)
+        found = stored(sure.unionByName(compared.select("a", "b").distinct()))
+        out = found if out is None else out.unionByName(found)
+        todo = stored(open_.where(~few).join(found, ["a", "b"], "left_anti").select("a", "b", F.col("qa").alias("pa"), F.col("qb").alias("pb")))
+        if todo.isEmpty():
+            break
+    return out.distinct()
