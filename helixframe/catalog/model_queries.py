@@ -113,6 +113,18 @@ n as (select a.p_partkey, b.v, row_number() over (partition by a.p_partkey order
 m as (select p_partkey, avg(v) as m from n where k <= 5 group by all) select p_partkey, round(coalesce(v, m), 4) as p_retailprice from p left join m using (p_partkey)"""
 
 
+@query
+def pruned_neighbours(spark, d):
+    """The five nearest vectors of every fiftieth one, through the cells that can hold them."""
+    e = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    return neighbours.nearest_pruned(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), asked, 5)[0].select("q", "id", r6(F.col("d"), "d"))
+
+
+ORACLES["pruned_neighbours"] = """with g as (select a.vec_id as q, b.vec_id as id, sqrt(list_sum(list_transform(list_zip(a.embedding::double[], b.embedding::double[]), lambda x: power(x[1] - x[2], 2)))) as d
+from embeddings as a join embeddings as b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id), r as (select *, row_number() over (partition by q order by d, id) as k from g) select q, id, round(d, 6) as d from r where k <= 5"""
+
+
 @query
 def dbscan(spark, d):
     p = load(spark, d, "part").select("p_partkey", (F.col("p_size") / 50).alias("x"), (F.col("p_retailprice") / 2000).alias("y"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import product
 
@@ -14,6 +15,8 @@ from helixframe.storage import stored
 
 #: Rows of a block that a task compares with all queries of a block at once.
 BLOCK = 4096
+#: Numbers of a difference of blocks that are held at once, and pivots of the pruned search.
+CELLS, PIVOTS = 1 << 22, 256
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -30,30 +33,106 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     left = rows.select(deal("id", row_blocks).alias("i"), every(query_blocks).alias("j"), F.col("id").cast("long").alias("key"), vector("vector"), F.lit(0).alias("asks"))
     right = queries.select(every(row_blocks).alias("i"), deal("q", query_blocks).alias("j"), F.col("q").cast("long").alias("key"), vector("qv"), F.lit(1).alias("asks"))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [group[group["asks"] == a] for a in (0, 1)]
-        keys, x = zip(*[(s["key"].to_numpy(np.int64), np.array(s["v"].tolist(), np.float64).reshape(len(s), -1)) for s in sides])
-        out = []
-        for at in range(0, len(x[1]), 256):
-            part, qk = x[1][at : at + 256], keys[1][at : at + 256]
-            if not len(x[0]):
-                break
-            gap = part[:, None, :] - x[0][None, :, :]
-            both = ~np.isnan(gap)
-            seen = both.sum(2)
-            d = np.sqrt(np.where(both, gap * gap, 0).sum(2) * gap.shape[2] / np.maximum(seen, 1))
-            d[(seen == 0) | (qk[:, None] == keys[0][None, :])] = np.inf
-            order = np.lexsort((np.broadcast_to(keys[0], d.shape), d), axis=1)[:, :k]
-            q = np.repeat(qk, order.shape[1])
-            best = pd.DataFrame({"q": q, "id": keys[0][order].ravel(), "d": np.take_along_axis(d, order, 1).ravel()})
-            out.append(best[np.isfinite(best["d"])])
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "id": [], "d": []}).astype({"q": "int64", "id": "int64", "d": "float64"})
-
-    found = left.unionByName(right).groupBy("i", "j").applyInPandas(compare, "q long, id long, d double")
+    found = left.unionByName(right).groupBy("i", "j").applyInPandas(lambda g: _best(g, k), "q long, id long, d double")
+    return _first(found, k)
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
     return found.withColumn("__k", rank).where(F.col("__k") <= k).drop("__k")
 
 
+def _best(group: pd.DataFrame, k: int) -> pd.DataFrame:
+    """q, id, d: the k best rows (key, v, asks 0) of a block for each of its queries (asks 1), by so many queries at once as CELLS allow."""
+    sides = [group[group["asks"] == a] for a in (0, 1)]
+    if sides[0].empty or sides[1].empty:
+        return pd.DataFrame({"q": [], "id": [], "d": []}).astype({"q": "int64", "id": "int64", "d": "float64"})
+    keys, x = zip(*[(s["key"].to_numpy(np.int64), np.array(s["v"].tolist(), np.float64).reshape(len(s), -1)) for s in sides])
+    out = []
+    step = max(1, CELLS // max(1, x[0].size))
+    for at in range(0, len(x[1]), step):
+        part, qk = x[1][at : at + step], keys[1][at : at + step]
+        gap = part[:, None, :] - x[0][None, :, :]
+        both = ~np.isnan(gap)
+        seen = both.sum(2)
+        d = np.sqrt(np.where(both, gap * gap, 0).sum(2) * gap.shape[2] / np.maximum(seen, 1))
+        d[(seen == 0) | (qk[:, None] == keys[0][None, :])] = np.inf
+        order = np.lexsort((np.broadcast_to(keys[0], d.shape), d), axis=1)[:, :k]
+        q = np.repeat(qk, order.shape[1])
+        best = pd.DataFrame({"q": q, "id": keys[0][order].ravel(), "d": np.take_along_axis(d, order, 1).ravel()})
+        out.append(best[np.isfinite(best["d"])])
+    return pd.concat(out)
+
+
+def nearest_pruned(rows: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """What ``nearest`` gives, and a row with the pairs ``compared`` and ``all`` pairs.
+
+    Every row goes to the nearest of at most ``pivots`` rows drawn by a hash of the id; a cell knows its rows' least and largest distance to
+    its pivot. A query first looks through the nearest cells that hold k rows. Its k-th distance then bounds, by the
+    triangle inequality, which other cells can hold a nearer row; only those are looked through. Rows and queries must have all components, of
+    one length; where some are missing all pairs are compared. An empty table gives no rows.
+    """
+    complete = lambda df, v: df.where(F.col(v).isNull() | F.exists(F.col(v), lambda c: c.isNull() | F.isnan(c.cast("double")))).isEmpty()
+    drawn = [np.array(r["vector"], float) for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect() if r["vector"] is not None]
+    if not drawn or not (complete(rows, "vector") and complete(queries, "qv")):
+        found = nearest(rows, queries, k)
+        return found, rows.agg(F.count("*").alias("n")).crossJoin(queries.agg(F.count("*").alias("m"))).select((F.col("n") * F.col("m")).alias("compared"), (F.col("n") * F.col("m")).alias("all"))
+    centre = np.stack(drawn)
+
+    def distances(v: pd.Series) -> np.ndarray:
+        x = np.stack(v.tolist()).astype(float)
+        return np.concatenate([np.sqrt(((x[at : at + 64, None] - centre[None]) ** 2).sum(2)) for at in range(0, len(x), 64)])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                d = distances(batch["v"])
+                yield batch.assign(cell=d.argmin(1), r=d.min(1))
+
+    own = rows.select(F.col("id").cast("long").alias("key"), F.col("vector").cast("array<double>").alias("v"))
+    placed = stored(own.mapInPandas(place, "key long, v array<double>, cell long, r double"))
+    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()}
+    used = np.array(sorted(cells))
+    n, low, high = (np.array([cells[c][name] for c in used]) for name in ("n", "low", "high"))
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The cells that a query looks through: at first those nearest that hold k rows besides itself, then those that may hold nearer ones."""
+        for batch in batches:
+            if not len(batch):
+                continue
+            d = distances(batch["v"])[:, used]
+            order = np.argsort(d, 1)
+            many = np.cumsum(n[order], 1)
+            first = np.zeros(d.shape, bool)
+            np.put_along_axis(first, order, np.c_[np.zeros(len(d), int), many[:, :-1]] < k + 1, 1)
+            if "bound" in batch:
+                # A little slack, so that rounding hides no row at the bound itself.
+                bound = batch["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
+                first = ~first & (d - high <= bound) & (low - d <= bound)
+            yield pd.DataFrame({"key": batch["key"], "v": batch["v"], "cell": [used[f] for f in first]})
+
+    asked = stored(queries.select(F.col("q").cast("long").alias("key"), F.col("qv").cast("array<double>").alias("v")))
+    parts = max(1, -(-asked.count() // BLOCK))
+    of = F.create_map(*[F.lit(int(x)) for c in used for x in (c, -(-cells[c]["n"] // BLOCK))])
+    deal = lambda of_: F.pmod(F.xxhash64("key"), of_).cast("int")
+    left = placed.select("cell", deal(of[F.col("cell").cast("int")]).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("j"), "key", "v", F.lit(0).alias("asks"))
+
+    def look(given: DataFrame) -> tuple[DataFrame, DataFrame]:
+        seen = stored(given.mapInPandas(visits, "key long, v array<double>, cell array<long>").select("key", "v", F.explode("cell").alias("cell")))
+        blocks = F.explode(F.sequence(F.lit(0), of[F.col("cell").cast("int")] - 1))
+        right = seen.select("cell", blocks.alias("i"), deal(F.lit(parts)).alias("j"), "key", "v", F.lit(1).alias("asks"))
+        found = left.join(right.select("cell", "j").distinct(), ["cell", "j"], "left_semi").unionByName(right)
+        return stored(found.groupBy("cell", "i", "j").applyInPandas(lambda g: _best(g, k), "q long, id long, d double")), seen
+
+    near, seen = look(asked)
+    bound = _first(near, k).groupBy("q").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("bound"))
+    more, also = look(asked.join(bound.withColumnRenamed("q", "key"), "key", "left").fillna(float("inf"), ["bound"]))
+    size = F.create_map(*[F.lit(int(x)) for c in used for x in (c, cells[c]["n"])])
+    compared = seen.unionByName(also).agg(F.coalesce(F.sum(size[F.col("cell").cast("int")]), F.lit(0)).alias("compared"))
+    total = asked.agg((F.count("*") * int(n.sum())).alias("all"))
+    return _first(near.unionByName(more), k), compared.crossJoin(total)
+
+
 def impute_nearest(df: DataFrame, key: str, column: str, features: list[str], k: int = 5) -> DataFrame:
     """Missing values of ``column`` become the mean of the k nearest rows that have one, by the other features."""
     vector = F.array(*[F.col(c).cast("double") for c in features])

@@ -48,3 +48,33 @@ def test_a_cell_of_a_million_rows_makes_no_pairs(spark):
     began = time.time()
     got = {r["cluster"]: r["n"] for r in neighbours.dbscan(rows, "id", ["x", "y"], 0.05, 10).groupBy("cluster").agg(F.count("*").alias("n")).collect()}
     assert got == {0: 1_000_001, None: 1} and time.time() - began < 200
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_pruned_search_equals_all_pairs_and_compares_few(spark, monkeypatch, missing):
+    """Clumped vectors with copies and ties, in small blocks; with missing components all pairs are compared."""
+    monkeypatch.setattr(neighbours, "BLOCK", 150)
+    monkeypatch.setattr(neighbours, "CELLS", 5000)
+    rng = np.random.default_rng(6)
+    centres = rng.uniform(-50, 50, (30, 6))
+    x = np.round(np.concatenate([centres[rng.integers(30, size=1500)] + rng.standard_normal((1500, 6)), np.tile(centres[0], (20, 1)), rng.uniform(-60, 60, (30, 6))]), 1)
+    if missing:
+        x[5, 2] = np.nan
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(5)
+    ask = [*range(0, 1550, 7), 5]
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in ask] + [(9000, [500.0] * 6)], "q long, qv array<double>")
+    found, told = neighbours.nearest_pruned(rows, queries, 4, pivots=40)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["q"], []).append((r["d"], r["id"]))
+    for q in [*ask, 9000]:
+        v = x[q] if q < 9000 else np.full(6, 500.0)
+        both = ~np.isnan(x - v)
+        d = np.sqrt(np.where(both, (x - v) ** 2, 0).sum(1) * 6 / both.sum(1))
+        want = sorted((float(d[i]), i) for i in range(len(x)) if i != q)[:4]
+        assert [i for _, i in sorted(got[q])] == [i for _, i in want] and np.allclose([g for g, _ in sorted(got[q])], [w for w, _ in want])
+    told = told.first()
+    assert told["all"] == 1550 * (len(ask) + 1) and (told["compared"] == told["all"] if missing else told["compared"] < 0.3 * told["all"])
+    assert neighbours.nearest_pruned(rows.limit(0), queries, 3)[0].count() == 0 and neighbours.nearest_pruned(rows, queries.limit(0), 3)[0].count() == 0
+    few, _ = neighbours.nearest_pruned(rows.where("id < 3"), queries.where("q = 0"), 9)
+    assert sorted(r["id"] for r in few.collect()) == [1, 2]
