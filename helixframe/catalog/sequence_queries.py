@@ -427,6 +427,54 @@ ORACLES["comprehensive"] = " union all ".join(
 )
 
 
+@query
+def analysis_insights(spark, d):
+    """Labels of what the comprehensive analysis found."""
+    one = discovery.insights(discovery.insight_counts(discovery.comprehensive(seqs(spark, d))))
+    return one.select(*[r6(F.col(c), c) if c in ("regulatory_potential", "pathogenic_potential") else c for c in one.columns])
+
+
+_OF = lambda a, m: f"coalesce(sum(value) filter (analysis = '{a}' and metric = '{m}'), 0)"
+_GRADED = lambda high, moderate: f"case when {high} then 'HIGH' when {moderate} then 'MODERATE' else 'LOW' end"
+ORACLES["analysis_insights"] = f"""with f as ({ORACLES["comprehensive"]}), c as (select {_OF("pathogen_detection", "pathogenicity")} as v, {_OF("pathogen_detection", "resistance")} as r, {_OF("drug_targets", "druggable")} as dr, {_OF("drug_targets", "enzyme_sites")} as en,
+{_OF("motif_analysis", "promoter")} as p, {_OF("motif_analysis", "enhancer")} as h, {_OF("motif_analysis", "tf_site")} as t, {_OF("biomarker_generation", "discriminative_kmers")} as d, {_OF("biomarker_generation", "conserved_motifs")} as m,
+{_OF("mutation_analysis", "oncogenic")} as o, {_OF("mutation_analysis", "snvs")} as s from f)
+select {_GRADED("v > 5 and r > 3", "v > 2 or r > 1")} as outbreak_potential, {_GRADED("dr > 3 and en > 2", "dr > 1 or en > 0")} as therapeutic_potential, round(least((p * 3 + h * 2 + t) / 10, 10), 6) as regulatory_potential,
+{_GRADED("d > 20", "d > 10")} as discriminative_power, {_GRADED("m > 5", "m > 2")} as clinical_applicability, round(case when s = 0 then 0 else least(o * 100 / greatest(s, 1), 100) end, 6) as pathogenic_potential from c"""
+
+
+@query
+def sequence_metadata(spark, d):
+    """An upload of sequences of all kinds, with its composition."""
+    one = validation.metadata(mixed(spark, d), "dna", "upload.FASTA", 5_000_000)
+    return one.select(*[r6(F.col(c), c) if k == "double" else c for c, k in one.dtypes])
+
+
+ORACLES["sequence_metadata"] = f"""with {MIXED}, l as (select len(s) as n, row_number() over (order by len(s)) as k, count(*) over () as c from mixed),
+g as (select round(min(min) * 100, 4) as gc_min, avg * 100 as gc_mean, max * 100 as gc_max from (select min(g) as min, avg(g) as avg, max(g) as max from (select {div(n_of('u', 'GCS'), n_of('u', 'ACGTUSW'))} as g from (select upper(s) as u from mixed where seq_idx < 1000))) group by all),
+f as ({ORACLES["first_composition"]})
+select 'upload.FASTA' as file_name, 4.77::double as file_size_mb, '.fasta' as file_extension, 'dna' as dataset_type, count(*) as total_sequences, min(n)::int as min_length, max(n)::int as max_length, round(avg(n), 6) as mean_length, max(case when k = c // 2 + 1 then n end)::int as median_length,
+any_value(gc_min) as gc_min, round(any_value(gc_mean), 6) as gc_mean, round(any_value(gc_max), 6) as gc_max, {", ".join(f"any_value(f.{x}_count) as {x}_count, any_value(f.{x}_share) as {x}_share" for x in "atgcn")}, any_value(f.gc_skew) as gc_skew, any_value(f.at_skew) as at_skew,
+0.95::double as quality_score, 0.98::double as completeness, 0.01::double as contamination from l, g, f"""
+
+
+@query
+def dataset_summary(spark, d):
+    one = validation.dataset_summary(validation.metadata(mixed(spark, d), "dna", "upload.fasta", 5_000_000))
+    return one.withColumn("avg_sequence_length", r6(F.col("avg_sequence_length"), "avg_sequence_length"))
+
+
+ORACLES["dataset_summary"] = f"""with {MIXED} select count(*) as total_records, '4.77 MB' as file_size, 'dna' as dataset_type, count(*) as sequence_count, round(avg(len(s)), 6) as avg_sequence_length,
+min(len(s))::int as min_sequence_length, max(len(s))::int as max_sequence_length from mixed"""
+
+
+@query
+def protein_statistics(spark, d):
+    """Masses and isoelectric points of the first proteins, all six frames."""
+    p = scans.six_frame_proteins(seqs(spark, d)).select("seq_idx", F.translate("protein", "*X", "").alias("sequence"))
+    return validation.protein_statistics(p)
+
+
 @query
 def batches(spark, d):
     """Greedy batches of the documents' lengths in order of their ids."""

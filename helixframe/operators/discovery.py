@@ -243,3 +243,13 @@ def insights(counts: DataFrame) -> DataFrame:
         grade(c("frequent_motifs") > 5, c("frequent_motifs") > 2).alias("clinical_applicability"),
         F.when(c("snvs") == 0, 0.0).otherwise(F.least(c("oncogenic") * 100 / F.greatest(c("snvs"), F.lit(1)), F.lit(100.0))).alias("pathogenic_potential"),
     )
+
+
+def insight_counts(analysis: DataFrame) -> DataFrame:
+    """The row that ``insights`` takes, from what ``comprehensive`` found; analyses that were not asked for count as 0."""
+    of = {
+        "virulence": ("pathogen_detection", "pathogenicity"), "resistance": ("pathogen_detection", "resistance"), "druggable": ("drug_targets", "druggable"), "enzyme_sites": ("drug_targets", "enzyme_sites"),
+        "promoters": ("motif_analysis", "promoter"), "enhancers": ("motif_analysis", "enhancer"), "tf_sites": ("motif_analysis", "tf_site"), "discriminative": ("biomarker_generation", "discriminative_kmers"),
+        "frequent_motifs": ("biomarker_generation", "conserved_motifs"), "oncogenic": ("mutation_analysis", "oncogenic"), "snvs": ("mutation_analysis", "snvs"),
+    }
+    return analysis.agg(*[F.coalesce(F.sum(F.when((F.col("analysis") == a) & (F.col("metric") == m), F.col("value"))), F.lit(0.0)).alias(n) for n, (a, m) in of.items()])

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from itertools import combinations, combinations_with_replacement
+from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import information, profile
+from helixframe.operators import information, ordered, profile
 
 
 def impute(df: DataFrame, columns: list[str], how: str) -> DataFrame:
@@ -37,16 +38,14 @@ def drop_sparse(df: DataFrame, share: float = 0.5) -> DataFrame:
 
 def scale(df: DataFrame, columns: list[str], how: str) -> DataFrame:
     """standard (population deviation), minmax or robust (exact quartiles); a constant column becomes 0."""
-    stats = []
-    for c in columns:
-        if how == "standard":
-            stats += [F.avg(c).alias(f"__a_{c}"), F.stddev_pop(c).alias(f"__b_{c}")]
-        elif how == "minmax":
-            stats += [F.min(c).alias(f"__a_{c}"), (F.max(c) - F.min(c)).alias(f"__b_{c}")]
-        else:
-            q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            stats += [q[1].alias(f"__a_{c}"), (q[2] - q[0]).alias(f"__b_{c}")]
-    out = df.crossJoin(F.broadcast(df.agg(*stats)))
+    if how == "robust":
+        of = lambda c, q: F.max(F.when(F.col("column") == c, F.col(q)))
+        q = profile.quantiles(profile.counted(df, columns), (0.25, 0.5, 0.75))
+        stats = q.agg(*[x for c in columns for x in (of(c, "q50").alias(f"__a_{c}"), (of(c, "q75") - of(c, "q25")).alias(f"__b_{c}"))])
+    else:
+        two = {"standard": lambda c: (F.avg(c), F.stddev_pop(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c))}[how]
+        stats = df.agg(*[x.alias(f"__{n}_{c}") for c in columns for n, x in zip("ab", two(c))])
+    out = df.crossJoin(F.broadcast(stats))
     for c in columns:
         by = F.when(F.col(f"__b_{c}") == 0, 1.0).otherwise(F.col(f"__b_{c}"))
         out = out.withColumn(c, (F.col(c) - F.col(f"__a_{c}")) / by)
@@ -72,8 +71,7 @@ def log_transform(df: DataFrame, columns: list[str]) -> DataFrame:
 def remove_outliers_iqr(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """Column after column, with fences from the rows that are left; nulls go."""
     for c in columns:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-        fence = df.agg((q[0] - (q[1] - q[0]) * factor).alias("__lo"), (q[1] + (q[1] - q[0]) * factor).alias("__hi"))
+        fence = profile.iqr_bounds(df, [c], factor).select(F.col("low").alias("__lo"), F.col("high").alias("__hi"))
         df = df.crossJoin(F.broadcast(fence)).where(F.col(c).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
     return df
 
@@ -113,11 +111,22 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
     return df.join(codes, column, "left")
 
 
+def _placed(df: DataFrame, key: str, strata: Column) -> DataFrame:
+    """``df`` with __k, the place of a row in its stratum in order of the key's md5 and the key, from 1, and __n, the stratum's rows.
+
+    All rows are placed by sorted ranges, so a stratum may hold most of them; nulls are a stratum.
+    """
+    rows = df.withColumns({"__s": strata.cast("string"), "__h": F.md5(F.col(key).cast("string"))})
+    rows = ordered.running(rows, ["__s", "__h", key], name="__at")
+    per = rows.groupBy(F.col("__s").alias("__t")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    rows = rows.join(per, F.col("__s").eqNullSafe(F.col("__t"))).withColumn("__k", F.col("__at") - F.col("__first") + 1)
+    return rows.drop("__s", "__t", "__h", "__at", "__first")
+
+
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2) -> DataFrame:
     """Rows with ``part``: in each class the first ceil(test * n) in order of the key's md5 are test."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("part", F.when(F.row_number().over(w) <= F.ceil(n * test), "test").otherwise("train"))
+    rows = _placed(df, key, F.col(label))
+    return rows.withColumn("part", F.when(F.col("__k") <= F.ceil(F.col("__n") * test), "test").otherwise("train")).drop("__k", "__n")
 
 
 def integer_encode(df: DataFrame, column: str, width: int, alphabet: str = "ACGT") -> DataFrame:
@@ -200,14 +209,32 @@ def select_best(df: DataFrame, columns: list[str], label: str, k: int, how: str
     return df.select(*[c for c in df.columns if c not in columns or c in best])
 
 
+#: Rows under which a table is small.
+SMALL = 20
+
+
 def three_way_split(df: DataFrame, key: str, label: str, test: float = 0.2, validation: float = 0.1) -> DataFrame:
-    """Rows with ``part``: in each class, in order of the key's md5, test first, then the share of the rest that makes ``validation``, then train."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    rows = df.withColumns({"__k": F.row_number().over(w), "__t": F.ceil(n * test), "__n": n})
-    more = F.ceil((F.col("__n") - F.col("__t")) * (validation / (1 - test)))
-    part = F.when(F.col("__k") <= F.col("__t"), "test").when(F.col("__k") <= F.col("__t") + more, "validation").otherwise("train")
-    return rows.withColumn("part", part).drop("__k", "__t", "__n")
+    """Rows with ``part``: in each class, in order of the key's md5, test first, then the share of the rest that makes ``validation``, then train.
+
+    With a class of one row classes are not kept apart at all; where a class has less than two rows after the test part, validation rows are
+    drawn from all. Tables of under SMALL rows have a test part of two rows and a validation part of one, within a tenth to a fifth and a
+    twentieth to a tenth of the rows.
+    """
+    total, least = df.groupBy(label).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.min("count")).first()
+    if 0 < total < SMALL:
+        test, validation = min(0.2, max(0.1, 2 / total)), min(0.1, max(0.05, 1 / total))
+    apart = (least or 0) >= 2
+    strata = F.col(label) if apart else F.lit("all")
+    share = validation / (1 - test)
+    rows = _placed(df, key, strata)
+    tested = F.col("__k") <= F.ceil(F.col("__n") * test)
+    more = F.ceil((F.col("__n") - F.ceil(F.col("__n") * test)) * share)
+    if apart and least - ceil(least * test) < 2:
+        first, rest = rows.where(tested).drop("__k", "__n"), _placed(rows.where(~tested).drop("__k", "__n"), key, F.lit("all"))
+        chosen = F.when(F.col("__k") <= F.ceil(F.col("__n") * share), "validation").otherwise("train")
+        return first.withColumn("part", F.lit("test")).unionByName(rest.withColumn("part", chosen).drop("__k", "__n"))
+    part = F.when(tested, "test").when(F.col("__k") <= F.ceil(F.col("__n") * test) + more, "validation").otherwise("train")
+    return rows.withColumn("part", part).drop("__k", "__n")
 
 
 #: Steps by the names that a pipeline's configuration uses.

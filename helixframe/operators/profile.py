@@ -120,7 +120,10 @@ def feature_relationships(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, median, deviation, distinct values and values over three deviations from the mean."""
-    stats = long_form(df, {c: {"mean": F.avg(c), "median": F.percentile(c, 0.5), "std": F.stddev_samp(c), "distinct": F.count_distinct(c)} for c in columns})
+    values = counted(df, columns)
+    stats = long_form(df, {c: {"mean": F.avg(c), "std": F.stddev_samp(c)} for c in columns})
+    stats = stats.join(values.groupBy("column").agg(F.count("v").alias("distinct")), "column").join(quantiles(values, (0.5,)).withColumnRenamed("q50", "median"), "column", "left")
+    stats = stats.select("column", "mean", "median", "std", "distinct")
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"))
     far = cells.select("x.*").join(F.broadcast(stats), "column").groupBy("column")
     return stats.join(far.agg(F.count_if(F.abs(F.col("v") - F.col("mean")) > 3 * F.col("std")).alias("outliers")), "column")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe import constants as C
+from helixframe.functions import protein as P
 from helixframe.functions import sequence as S
 from helixframe.operators import profile
 
@@ -172,11 +173,76 @@ def file_hashes(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), F.sha1("content").alias("sha1"))
 
 
+# What configurations may name, and the longest texts that they may have.
+DATASET_KINDS = ("dna", "rna", "protein", "general")
+MODEL_KINDS = ("classification", "regression", "clustering")
+MODEL_ALGORITHMS = ("random_forest", "logistic_regression", "svm", "linear_regression", "xgboost", "neural_network")
+MOST_NAME, MOST_DESCRIPTION = 255, 1000
+
+
 def config_errors(config: dict, required: dict[str, type]) -> list[str]:
     """What is wrong with a configuration: fields that are missing or of another type."""
     return [f"{k} is missing" if k not in config else f"{k} is no {t.__name__}" for k, t in required.items() if k not in config or not isinstance(config[k], t)]
 
 
+def _whole(value, least: int) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool) and value >= least
+
+
+def dataset_config(config: dict) -> tuple[list[str], list[str]]:
+    """Errors and warnings of a dataset's configuration: kind, name, description, largest file."""
+    errors = [f"Missing required field: {k}" for k in ("dataset_type", "name") if k not in config]
+    if config.get("dataset_type", DATASET_KINDS[0]) not in DATASET_KINDS:
+        errors.append(f"Invalid dataset type. Must be one of: {', '.join(DATASET_KINDS)}")
+    name = config.get("name", "x")
+    errors += ["Dataset name cannot be empty"] * (len(name) < 1) + [f"Dataset name too long (max {MOST_NAME} characters)"] * (len(name) > MOST_NAME)
+    if not _whole(config.get("max_file_size", 1), 1):
+        errors.append("max_file_size must be a positive integer")
+    return errors, [f"Description is very long (>{MOST_DESCRIPTION} characters)"] * (len(config.get("description", "")) > MOST_DESCRIPTION)
+
+
+def model_config(config: dict) -> list[str]:
+    """Errors of a model's configuration: kind, algorithm, a forest's parameters, test share, folds, target."""
+    errors = [f"Missing required field: {k}" for k in ("model_type", "algorithm") if k not in config]
+    for field, known, what in (("model_type", MODEL_KINDS, "model type"), ("algorithm", MODEL_ALGORITHMS, "algorithm")):
+        if field in config and config[field] not in known:
+            errors.append(f"Invalid {what}. Must be one of: {', '.join(known)}")
+    given = config.get("hyperparameters", {})
+    if not isinstance(given, dict):
+        errors.append("Hyperparameters must be a dictionary")
+    elif config.get("algorithm") == "random_forest":
+        errors += ["n_estimators must be a positive integer"] * (not _whole(given.get("n_estimators", 1), 1))
+        errors += ["max_depth must be a positive integer or None"] * (given.get("max_depth") is not None and not _whole(given["max_depth"], 1))
+    test = config.get("test_size", 0.5)
+    errors += ["test_size must be a float between 0 and 1"] * (not isinstance(test, (int, float)) or not 0 < test < 1)
+    errors += ["cv_folds must be an integer >= 2"] * (not _whole(config.get("cv_folds", 2), 2))
+    target = config.get("target_column", "x")
+    return errors + ["target_column must be a non-empty string"] * (not isinstance(target, str) or not target)
+
+
+def upload_errors(name: str, size: int, allowed: tuple[str, ...], most_mb: int = 100) -> list[str]:
+    """Errors of a file to be uploaded: its name, extension and size."""
+    end = name.lower().rpartition(".")[2] if "." in name else ""
+    errors = ["Filename cannot be empty"] * (not name.strip())
+    errors += [f"File type not allowed. Allowed types: {', '.join(allowed)}"] * (bool(name) and end not in [a.lower() for a in allowed])
+    errors += [f"File size ({size / (1 << 20):.1f}MB) exceeds maximum allowed size ({most_mb}MB)"] * (size > most_mb << 20)
+    return errors + ["File appears to be empty"] * (size <= 0)
+
+
+def json_errors(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """``rows`` with ``fault``: why a JSON text does not fit a schema of Spark (``a int not null, b array<string>``): it is no JSON object,
+    a field that must be there is missing, or a field is of another kind; null where it fits."""
+    kind = T.StructType.fromDDL(schema)
+    broken = T.StructType([*[T.StructField(f.name, f.dataType) for f in kind.fields], T.StructField("__broken", T.StringType())])
+    parsed = F.from_json(column, broken, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"})
+    fields = F.json_object_keys(F.col(column))
+    needed = [f.name for f in kind.fields if not f.nullable]
+    lacking = F.filter(F.array(*map(F.lit, needed)).cast("array<string>"), lambda n: ~F.array_contains(fields, n))
+    other = F.array_compact(F.array(*[F.when(F.array_contains(fields, f.name) & parsed[f.name].isNull(), F.lit(f.name)) for f in kind.fields]))
+    fault = F.when(fields.isNull(), "no JSON object").when(F.size(lacking) > 0, F.concat(F.lit("missing: "), F.array_join(lacking, ", ")))
+    return rows.withColumn("fault", fault.when(F.size(other) > 0, F.concat(F.lit("of another kind: "), F.array_join(other, ", "))).when(parsed["__broken"].isNotNull(), "of another kind"))
+
+
 def composition(seqs: DataFrame) -> DataFrame:
     """letter, n, percentage of all letters (upper case) of all sequences; long sequences are counted where they are."""
     chars = seqs.select(F.explode(S.letters(F.upper("sequence"))).alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
@@ -200,8 +266,46 @@ def gc_range(seqs: DataFrame, first: int = 100) -> DataFrame:
     return seqs.where(F.col("seq_idx") < first).agg(F.min(gc).alias("min"), F.avg(gc).alias("avg"), F.max(gc).alias("max"))
 
 
+# The quality that a new dataset is given.
+GIVEN_QUALITY = {"quality_score": 0.95, "completeness": 0.98, "contamination": 0.01}
+
+
+def metadata(seqs: DataFrame, kind: str, name: str, size: int) -> DataFrame:
+    """One row about an upload of sequences: its file, their number and lengths (the median is the upper one), for nucleotides the GC
+    percentages and the composition of the first ones, which is the feature, and the quality that new datasets are given.
+
+    Without sequences numbers and shares are 0 and extremes null.
+    """
+    n = F.length("sequence")
+    end = f".{name.rpartition('.')[2].lower()}" if "." in name else ""
+    one = seqs.agg(
+        F.count("*").alias("total_sequences"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.avg(n).alias("mean_length"),
+        F.expr("percentile_disc(0.5) within group (order by length(sequence) desc)").cast("int").alias("median_length"),
+    ).withColumns({"file_name": F.lit(name), "file_size_mb": F.lit(round(size / (1 << 20), 2)), "file_extension": F.lit(end), "dataset_type": F.lit(kind)})
+    if kind in ("dna", "rna"):
+        gc = gc_range(seqs, 1000).select(*[(F.col(c) * 100).alias(f"gc_{to}") for c, to in (("min", "min"), ("avg", "mean"), ("max", "max"))])
+        one = one.crossJoin(gc).crossJoin(first_composition(seqs))
+    return one.withColumns({k: F.lit(v) for k, v in GIVEN_QUALITY.items()})
+
+
+def dataset_summary(told: DataFrame) -> DataFrame:
+    """What a list of datasets shows of ``metadata``: records, size in words, kind, number and lengths of sequences."""
+    mb = F.col("file_size_mb")
+    words = F.when(mb >= 1024, F.concat(F.format_number(mb / 1024, 2), F.lit(" GB"))).otherwise(F.concat(F.format_number(mb, 2), F.lit(" MB")))
+    lengths = [F.coalesce(F.col(f"{c}_length"), F.lit(0)).alias(f"{to}_sequence_length") for c, to in (("mean", "avg"), ("min", "min"), ("max", "max"))]
+    return told.select(F.col("total_sequences").alias("total_records"), words.alias("file_size"), "dataset_type", F.col("total_sequences").alias("sequence_count"), *lengths)
+
+
+def protein_statistics(proteins: DataFrame, first: int = 100) -> DataFrame:
+    """Mean, population deviation and extremes of masses and isoelectric points of the first proteins (seq_idx, sequence), of those with
+    standard residues only; the number is the feature."""
+    s = F.upper("sequence")
+    some = proteins.where((F.col("seq_idx") < first) & P.is_standard(s)).select(P.molecular_weight(s).alias("mass"), P.isoelectric_point(s).alias("point"))
+    return some.agg(*[f(c).alias(f"{c}_{n}") for c in ("mass", "point") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))])
+
+
 def columns_overview(df: DataFrame) -> DataFrame:
-    """column, kind, missing and distinct values of each column of a table."""
+    """column, kind and missing values of each column of a table."""
     stats = {f.name: {"kind": F.lit(f.dataType.simpleString()), "missing": F.count_if(F.col(f.name).isNull())} for f in df.schema.fields}
     one = profile.long_form(df, {c: {"missing": s["missing"]} for c, s in stats.items()})
     kinds = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
@@ -210,8 +314,7 @@ def columns_overview(df: DataFrame) -> DataFrame:
 
 def missing_rollup(df: DataFrame) -> DataFrame:
     """Sums of missing cells and missing percentages, and the largest number of distinct values of a column."""
-    stats = {c: {"missing": F.count_if(F.col(c).isNull()), "percent": F.count_if(F.col(c).isNull()) * 100 / F.count("*")} for c in df.columns}
-    sums = profile.long_form(df, stats).agg(F.sum("missing").alias("missing"), F.sum("percent").alias("missing_percent"))
-    kinds = reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in df.columns])
-    most = kinds.where("v is not null").distinct().groupBy("column").count().agg(F.max("count").alias("most_distinct"))
-    return sums.crossJoin(most)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in df.columns])).alias("x")
+    kinds = df.select(cells).select("x.*").groupBy("column", "v").agg(F.count("*").alias("n"))
+    per = kinds.groupBy("column").agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.sum("n").alias("rows"), F.count("v").alias("distinct"))
+    return per.agg(F.sum("missing").alias("missing"), F.sum(F.col("missing") * 100 / F.col("rows")).alias("missing_percent"), F.max("distinct").alias("most_distinct"))
