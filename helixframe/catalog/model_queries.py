@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.catalog.base import load, query, r6, seqs
+from helixframe.catalog.registry import datasets
 from helixframe.catalog.oracles import _PRED
 from helixframe.ml import budget, explain, search
 from helixframe.ml import models as M
@@ -34,18 +35,27 @@ ORACLES["task_types"] = """select c_custkey, case when c_custkey % 3 = 0 then 'c
 when c_nationkey > 1 then 'general_classification' else 'general_regression' end as task from customer"""
 
 
+_DATASETS = """g as (select l_returnflag, l_quantity, count(*) as n, count(distinct l_suppkey) as features, count(distinct l_linenumber * (l_quantity % 3)) as classes from lineitem group by all),
+sets as (select concat_ws('-', l_returnflag, l_quantity::int) as name, n * l_quantity::int as n, features, classes, case when l_quantity % 3 = 0 then 'protein_classification' else 'general' end as task from g)"""
+_NAMES = ["random_forest", "xgboost", "gradient_boosting", "svm", "logistic_regression", "knn", "naive_bayes"]
+_HOLDS = {"few_rows": "n < 1000", "many_rows": "n > 10000", "wide": "features > 100", "many_classes": "classes > 10", "biological": "contains(task, 'protein')"}
+ORACLES["model_ranking"] = f"with {_DATASETS}, s as (" + " union all ".join(
+    f"select name, {i} as place, '{m}' as model, 100{''.join(f' + case when {h} then {M.RANKING[t].get(m, 0)} else 0 end' for t, h in _HOLDS.items())} as score from sets" for i, m in enumerate(_NAMES)
+) + ") select name, model, score, row_number() over (partition by name order by score desc, place)::int as rank from s"
+
+
 @query
 def algorithm_suggestions(spark, d):
-    """For small, large and wide data of the three tasks."""
-    cases = [(t, mb, n) for t in ("classification", "regression", "clustering") for mb, n in ((5.0, 71), (500.0, 71), (500.0, 2000))]
-    return T.union_all([T.suggestions(spark, *c).select(F.lit(c[0]).alias("task"), F.lit(c[1]).alias("megabytes"), F.lit(c[2]).alias("features"), "algorithm", "score") for c in cases])
+    """For datasets of each return flag and quantity, as each of the three tasks."""
+    sets = datasets(spark, d).select("name", (F.col("rows") / 50).alias("megabytes"), (F.col("features") * 20).alias("features"), F.explode(F.array(*map(F.lit, ("classification", "regression", "clustering")))).alias("task"))
+    return T.suggestions(sets)
 
 
 _ALGO = ", ".join(f"({i}, '{a}', '{t}', '{c}', '{x}')" for i, (a, t, c, x) in enumerate(T.ALGORITHMS))
-ORACLES["algorithm_suggestions"] = f"""with a(place, algorithm, task, category, complexity) as (values {_ALGO}), c(megabytes, features) as (values (5.0::double, 71), (500.0::double, 71), (500.0::double, 2000)),
-s as (select a.*, megabytes, features, case when megabytes < 10 and complexity <> 'high' then 2 when megabytes > 100 and algorithm in ('logistic_regression', 'linear_regression') then 2 else 0 end
+ORACLES["algorithm_suggestions"] = f"""with a(place, algorithm, task, category, complexity) as (values {_ALGO}), {_DATASETS}, c as (select name, n / 50.0::double as megabytes, features * 20 as features from sets),
+s as (select a.*, name, case when megabytes < 10 and complexity <> 'high' then 2 when megabytes > 100 and algorithm in ('logistic_regression', 'linear_regression') then 2 else 0 end
 + case when features > 1000 and category in ('linear', 'kernel') then 1 else 0 end + case when complexity <> 'high' then 1 else 0 end as score from a, c),
-r as (select *, row_number() over (partition by task, megabytes, features order by score desc, place) as k from s) select task, megabytes, features, algorithm, score from r where k <= 5"""
+r as (select *, row_number() over (partition by task, name order by score desc, place)::int as k from s) select name, task, algorithm, score, k as rank from r where k <= 5"""
 
 
 @query

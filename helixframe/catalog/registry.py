@@ -474,11 +474,19 @@ def best_by_group(spark, d):
     return relational.best_by(load(spark, d, "orders"), "o_orderpriority", "o_totalprice", "o_orderkey")
 
 
+#: Datasets of different sizes, widths and classes: the rows of each return flag and quantity.
+def datasets(spark, d):
+    rows = load(spark, d, "lineitem").groupBy("l_returnflag", "l_quantity").agg(
+        F.count("*").alias("rows"), F.count_distinct("l_suppkey").alias("features"), F.count_distinct(F.col("l_linenumber") * (F.col("l_quantity") % 3)).alias("classes")
+    )
+    task = F.when(F.col("l_quantity") % 3 == 0, "protein_classification").otherwise("general")
+    return rows.select(F.concat_ws("-", "l_returnflag", F.col("l_quantity").cast("int")).alias("name"), (F.col("rows") * F.col("l_quantity").cast("int")).alias("rows"), "features", "classes", task.alias("task"))
+
+
 @query
 def model_ranking(spark, d):
     names = ["random_forest", "xgboost", "gradient_boosting", "svm", "logistic_regression", "knn", "naive_bayes"]
-    rows = [(i, m, s) for i, (m, s) in enumerate(M.ranked(names, 28, 71))]
-    return spark.createDataFrame(rows, "position int, model string, score int")
+    return M.ranked(datasets(spark, d), names)
 
 
 @query

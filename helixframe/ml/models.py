@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as K
@@ -12,7 +13,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.ml import kernels, search
@@ -112,11 +113,14 @@ RANKING = {
 }
 
 
-def ranked(models: list[str], n_rows: int, n_features: int, n_classes: int = 2, task: str = "") -> list[tuple[str, int]]:
-    """Models with their scores, highest first, in the given order on ties."""
+def ranked(datasets: DataFrame, models: list[str]) -> DataFrame:
+    """name, model, score, rank of each model for each dataset (name, rows, features, classes, task), highest first, in the given order on ties."""
+    c = F.col
     holds = {
-        "few_rows": n_rows < 1000, "many_rows": n_rows > 10_000, "wide": n_features > 100, "many_classes": n_classes > 10,
-        "biological": "protein" in task or "dna" in task,
+        "few_rows": c("rows") < 1000, "many_rows": c("rows") > 10_000, "wide": c("features") > 100, "many_classes": c("classes") > 10,
+        "biological": c("task").contains("protein") | c("task").contains("dna"),
     }
-    scores = [(m, 100 + sum(RANKING[t].get(m, 0) for t, yes in holds.items() if yes)) for m in models]
-    return sorted(scores, key=lambda x: -x[1])
+    score = lambda m: reduce(lambda a, b: a + b, [F.when(yes, RANKING[t].get(m, 0)).otherwise(0) for t, yes in holds.items()], F.lit(100))
+    each = F.posexplode(F.array(*[F.struct(F.lit(m).alias("model"), score(m).alias("score")) for m in models])).alias("place", "x")
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "place"))
+    return datasets.select("name", each).select("name", "place", "x.*").withColumn("rank", rank).drop("place")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.ml import models as M
@@ -40,15 +40,17 @@ def task_type(kind: Column, has_labels: Column, classes: Column) -> Column:
     return F.when(~has_labels, "clustering").otherwise(F.coalesce(named, F.when(classes > 1, "general_classification"), F.lit("general_regression")))
 
 
-def suggestions(spark: SparkSession, task: str, megabytes: float, features: int, many: int = 5) -> DataFrame:
-    """position, algorithm, score of the best algorithms for a dataset; the order of the table on ties."""
+def suggestions(datasets: DataFrame, many: int = 5) -> DataFrame:
+    """name, algorithm, score, rank: the best algorithms for each dataset (name, task, megabytes, features); the order of the table on ties."""
+    spark = datasets.sparkSession
     table = spark.createDataFrame([(i, *a) for i, a in enumerate(ALGORITHMS)], "place int, algorithm string, task string, category string, complexity string")
-    low, medium = F.col("complexity") == "low", F.col("complexity") == "medium"
-    size = F.when(F.lit(megabytes < 10), (low | medium).cast("int") * 2).when(F.lit(megabytes > 100), F.col("algorithm").isin("logistic_regression", "linear_regression").cast("int") * 2).otherwise(0)
-    wide = F.lit(features > 1000).cast("int") * F.col("category").isin("linear", "kernel").cast("int")
-    score = size + wide + (low | medium).cast("int")
-    best = table.where(F.col("task") == task).withColumn("score", score).orderBy(F.desc("score"), "place").limit(many)
-    return best.select("algorithm", "score")
+    simple = F.col("complexity").isin("low", "medium").cast("int")
+    lean = F.col("algorithm").isin("logistic_regression", "linear_regression").cast("int")
+    size = F.when(F.col("megabytes") < 10, simple * 2).when(F.col("megabytes") > 100, lean * 2).otherwise(0)
+    wide = ((F.col("features") > 1000) & F.col("category").isin("linear", "kernel")).cast("int")
+    every = datasets.select("name", "task", "megabytes", "features").join(F.broadcast(table), "task").withColumn("score", size + wide + simple)
+    rank = F.row_number().over(Window.partitionBy("name", "task").orderBy(F.desc("score"), "place"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= many).select("name", "task", "algorithm", "score", "rank")
 
 
 def config(name: str, rows: int, classes: int = 2) -> dict:
