@@ -106,12 +106,12 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
 CONTRACTED = 50_000
 
 
-def contracted(edges: DataFrame, many: int) -> tuple[DataFrame, int]:
+def contracted(edges: DataFrame, many: int, held: int) -> tuple[DataFrame, int]:
     """Edges (a, b) from each node to the smallest one that it reaches within its part of the edges, and the number of parts.
 
-    Parts are of CONTRACTED edges, whatever the number of edges, and dealt without a key, so no node's edges crowd one.
+    Parts are of ``held`` edges, whatever the number of edges, and dealt without a key, so no node's edges crowd one.
     """
-    parts = max(1, -(-many // CONTRACTED))
+    parts = max(1, -(-many // held))
 
     def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b.to_numpy(np.int64) for b in batches if len(b)]
@@ -126,15 +126,15 @@ def contracted(edges: DataFrame, many: int) -> tuple[DataFrame, int]:
     return cut(edges.select("a", "b").repartition(parts).mapInPandas(contract, "a long, b long")), parts
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, held: int | None = None) -> DataFrame:
     """(node, component) of an undirected graph given as long columns ``a`` and ``b``.
 
-    The component is the smallest node reachable. Tasks contract their parts of the edges; where there is more than
-    one part, large-star and small-star steps follow, each a grouped minimum and a join, with the edges contracted
-    and stored after each round. The driver only ever sees a count and a checksum.
+    The component is the smallest node reachable. Tasks contract their parts of ``held`` edges (CONTRACTED without it) once; where there
+    is more than one part, large-star and small-star steps follow, each a grouped minimum and a join, with the edges stored
+    after each round. The driver only ever sees a count and a checksum.
     """
     first = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    now, parts = contracted(first, first.count())
+    now, parts = contracted(first, first.count(), held or CONTRACTED)
     mark = None
     while parts > 1:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
