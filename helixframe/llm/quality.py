@@ -170,5 +170,9 @@ def classify(docs: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """The rows scored at least 0.5, with the columns of ``docs`` as they are."""
+    """The rows scored at least 0.5, with the columns of ``docs`` as they are.
+
+    Null texts count as empty, which are scored like any other; repeated rows are judged alike, and rows without doc_id as any
+    other; an empty table gives no rows.
+    """
     return bounded_batches(docs).where(scored(F.col("text"), model) >= 0.5)

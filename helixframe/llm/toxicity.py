@@ -192,5 +192,9 @@ def classify(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows scored under 0.5, with the columns of ``docs`` as they are."""
+    """The rows scored under 0.5, with the columns of ``docs`` as they are.
+
+    Null and empty texts are scored like a text without words; repeated rows are judged alike, and rows without doc_id as any
+    other; an empty table gives no rows.
+    """
     return model.add_score(docs, "__toxic_score").where(F.col("__toxic_score") < 0.5).select(*docs.columns)
