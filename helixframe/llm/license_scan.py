@@ -1,9 +1,10 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; each is normalised and mapped to the identifier of a known licence
-sentence, or to none. The identifiers in text order form a sequence, and ordered licence rules are
-matched against that sequence: the first rule whose sequence occurs names the licence and uses up
-its identifiers, then the next rules look at what is left.
+A text is cut into sentences: comment signs at line starts go, wrapped lines are joined, and a sentence ends at
+. ! ? before white space, at an empty line and around an SPDX line. Each sentence is normalised (lower case, runs of
+other signs as one space), loses the clauses that deny a licence, and is mapped to the identifiers of the known
+sentences in it. The identifiers in text order form a sequence. Ordered licence rules are matched against it: a rule
+names its licence and uses up its identifiers, then the next rules look at what is left. Licences have SPDX names.
 """
 
 from __future__ import annotations
@@ -13,105 +14,179 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Identifier and the pattern that a normalised sentence must contain.
+#: Identifier and what a normalised sentence must contain.
 SENTENCES = (
-    ("ApacheLic", r"licensed under the apache (software )?license"),
-    ("ApacheV2", r"apache license,? version 2|version 2 0 of the apache license"),
-    ("ApacheUrl", r"apache org licenses license 2"),
-    ("MITref", r"(released|licensed|available|distributed) under the (terms of the )?(mit|expat) license"),
-    ("MITperm", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("MITnotice", r"above copyright notice and this permission notice shall be included"),
-    ("GPLref", r"gnu general public license"),
-    ("GPLfree", r"free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("GPLv3", r"general public license,? (version|v) ?3|gpl ?v?3"),
-    ("GPLv2", r"general public license,? (version|v) ?2|gpl ?v?2"),
-    ("LGPLref", r"gnu (lesser|library) general public license"),
-    ("BSDcond", r"redistribution and use in source and binary forms with or without modification"),
-    ("BSDendorse", r"neither the name of .* may be used to endorse or promote products"),
-    ("CCBYNC", r"(cc by nc|creative commons attribution non ?commercial)"),
-    ("CCBYSA", r"(cc by sa|creative commons attribution share ?alike)"),
-    ("CCBY", r"(cc by( [0-9]|$)|creative commons attribution( [0-9]|$))"),
-    ("CC0", r"(cc0|public domain dedication)"),
-    ("MPL2", r"mozilla public license,? (version|v) ?2"),
-    ("AsIs", r"software is provided as is"),
-    ("AllRights", r"all rights reserved"),
-    ("Copyright", r"(^|[^a-z])copyright( c)? [0-9]{4}"),
-    ("SPDX", r"spdx license identifier"),
+    ("Copyright", r"\bcopyright( c)? [0-9]{4}\b"),
+    ("AllRights", r"\ball rights reserved\b"),
+    ("Secret", r"\bproprietary and confidential\b|\bunauthorized copying of this file\b"),
+    ("MITtitle", r"^(the )?mit license( mit)?( copyright|$)"),
+    ("MITref", r"\b(under|by|of) (the )?(terms of )?(the )?(mit|expat|x11) license\b"),
+    ("MITperm", r"\bpermission is hereby granted free of charge to any person obtaining a copy\b"),
+    ("MITnotice", r"\babove copyright notice and this permission notice shall be included in all copies\b"),
+    ("MITasis", r"\bthe software is provided as is without warranty of any kind\b"),
+    ("MITliab", r"\bin no event shall the authors or copyright holders be liable for any claim\b"),
+    ("BSDcond", r"\bredistribution and use in source and binary forms with or without modification are permitted\b"),
+    ("BSDsource", r"\bredistributions of source code must retain the above copyright notice\b"),
+    ("BSDbinary", r"\bredistributions in binary form must reproduce the above copyright notice\b"),
+    ("BSDadvert", r"\ball advertising materials mentioning features or use of this software must display\b"),
+    ("BSDendorse", r"\bnames? of .*may (not )?be used to endorse or promote products\b"),
+    ("BSDasis", r"\bthis software is provided by .*as is and any express or implied warranties\b"),
+    ("BSDliab", r"\bin no event shall .*be liable for any direct indirect incidental\b"),
+    ("BSD4ref", r"\b(original|4 clause|four clause) bsd license\b|\bbsd 4 clause\b"),
+    ("BSD3ref", r"\b(new|revised|modified|3 clause|three clause) bsd license\b|\bbsd 3 clause\b"),
+    ("BSD2ref", r"\b(simplified|2 clause|two clause) bsd license\b|\bbsd 2 clause\b|\bfreebsd license\b"),
+    ("ISCperm", r"\bpermission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted provided that\b"),
+    ("ZeroPerm", r"\bpermission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted$"),
+    ("ISCasis", r"\bthe software is provided as is and the author disclaims all warranties\b"),
+    ("ISCref", r"\bisc license\b"),
+    ("ZlibPerm", r"\bpermission is granted to anyone to use this software for any purpose including commercial applications\b"),
+    ("ZlibRef", r"\bzlib license\b"),
+    ("ApacheComply", r"\bmay not use this file except in compliance with the license\b"),
+    ("ApacheBasis", r"\bunless required by applicable law or agreed to in writing software distributed under the license\b"),
+    ("Apache-2.0", r"\bapache 2 0 license\b|\bunder (the )?apache 2 0\b"),
+    ("NoWarranty", r"\bwithout any warranty without even the implied warranty of merchantability\b"),
+    ("Boost", r"\bboost software license\b"),
+    ("Public", r"\bfree and unencumbered software released into the public domain\b|\bunder the unlicense\b"),
+    ("CC0", r"\bcc0\b|\bcreative commons zero\b|\bpublic domain dedication\b"),
+    ("WTFPL", r"\bdo what the [a-z]+ you want to public license\b|\bwtfpl\b"),
 )
 
-#: Fixed values, in order: licence and the pattern over ``,``-separated identifiers.
+#: Families whose sentences name a version, and their names.
+FAMILIES = (
+    ("AGPL", r"(?:gnu )?affero general public license|(?:gnu )?agpl"),
+    ("LGPL", r"gnu (?:lesser|library) general public license|(?:gnu )?lgpl"),
+    ("GPL", r"gnu general public license|(?:gnu )?gpl"),
+    ("Apache", r"apache(?: software)? license|apache org licenses license"),
+    ("MPL", r"mozilla public license|mpl"),
+    ("EPL", r"eclipse public license|epl"),
+)
+#: Families whose licences differ by whether later versions may be taken.
+LATER = ("AGPL", "LGPL", "GPL")
+_BY_FSF = " as published by the free software foundation"
+_VERSION = (
+    rf"(?:(?:{_BY_FSF})?(?: either)?(?: version)? ?v? ?[0-9](?: [0-9])?\b(?: of the license|{_BY_FSF})*"
+    r"(?: or at your option any later version| or any later version| or later|\+)?)?"
+)
+_CC = (
+    r"\b(?:creative commons attribution|cc by)(?: non ?commercial| nc)?"
+    r"(?: share ?alike| sa| no ?derivs| no ?derivatives| nd)?(?: [0-9] [0-9])?\b"
+)
+#: A clause that denies a licence, up to what is put in its place.
+DENIED = (
+    r"\b(?:not|never|no longer|isn t|aren t)(?: [a-z]+)? (?:licensed|released|distributed|available|offered|published|covered|provided)"
+    r" (?:under|by|with)\b.*?(?: but |$)"
+)
+
+_OWN = "(?:<Copyright>)*(?:<AllRights>)?(?:<Copyright>)*"
+_LIST = "<BSDcond>(?:<BSDsource>)?(?:<BSDbinary>)?"
+_BSD_END = "(?:<BSDasis>)?(?:<BSDliab>)?"
+#: Fixed values, in order: licence and the pattern over the sequence, in which every identifier stands in angle brackets.
 RULES = (
-    ("LGPL", r",LGPLref,"),
-    ("GPL-3.0", r",GPLv3,"),
-    ("GPL-2.0", r",GPLv2,"),
-    ("GPL", r",GPL(ref|free),"),
-    ("Apache-2.0", r",(ApacheV2|ApacheUrl),|,ApacheLic,"),
-    ("MIT", r",MITperm,(MITnotice,)?(AsIs,)?|,MITref,"),
-    ("BSD-3-Clause", r",BSDcond,([A-Za-z0-9]+,)*?BSDendorse,"),
-    ("BSD-2-Clause", r",BSDcond,"),
-    ("MPL-2.0", r",MPL2,"),
-    ("CC-BY-NC", r",CCBYNC,"),
-    ("CC-BY-SA", r",CCBYSA,"),
-    ("CC-BY", r",CCBY,"),
-    ("CC0-1.0", r",CC0,"),
-    ("Proprietary", r",AllRights,"),
+    ("BSD-4-Clause", f"{_OWN}{_LIST}<BSDadvert>(?:<BSDendorse>)?{_BSD_END}|<BSD4ref>"),
+    ("BSD-3-Clause", f"{_OWN}{_LIST}<BSDendorse>{_BSD_END}|<BSD3ref>"),
+    ("BSD-2-Clause", f"{_OWN}{_LIST}{_BSD_END}|<BSD2ref>"),
+    ("MIT", f"(?:<MITtitle>)?{_OWN}<MITperm>(?:<MITnotice>)?(?:<MITasis>)?(?:<MITliab>)?|<MITref>|<MITtitle>"),
+    ("ISC", f"(?:<ISCref>)?{_OWN}<ISCperm>(?:<ISCasis>)?|<ISCref>"),
+    ("0BSD", f"{_OWN}<ZeroPerm>(?:<ISCasis>)?"),
+    ("Zlib", f"(?:<ZlibRef>)?{_OWN}<ZlibPerm>|<ZlibRef>"),
+    ("BSL-1.0", f"{_OWN}<Boost>"),
+    ("Unlicense", "<Public>"),
+    ("CC0-1.0", "<CC0>"),
+    ("WTFPL", f"{_OWN}<WTFPL>"),
 )
 #: A sentence can only be known if it holds one of these.
-HINTS = "licen|copyright|rights reserved|gpl|creative commons|cc.by|cc0|redistribut|permission|as is|public domain|endorse"
+HINTS = r"licen|copyright|reserved|gpl|mpl|epl|commons|cc0|cc[^a-z0-9]+by|redistribut|advertis|endorse|permission|warrant|liable|unencumbered|public|confidential|unauthorized|apache|bsd|wtfpl"
 
 
 def sentences(text: Column) -> Column:
-    """The text's sentences that can be known, normalised: lower case, runs of other signs as one space.
+    """The text's sentences in their own letters; an SPDX line is a sentence of its own."""
+    out = F.regexp_replace(text, "\r\n?", "\n")
+    out = F.regexp_replace(out, r"""(?md)^[ \t]*(?://+|/\*+|\*+/?|#+|;+|--+|%+|<!--|\"\"\"|''')[ \t]*""", "")
+    out = F.regexp_replace(out, r"(?i)(SPDX-License-Identifier:[^\n]*)", "\n\n$1\n\n")
+    out = F.regexp_replace(out, r"(?i)\bv(?:ers?)?\. ?([0-9])", "version $1")
+    return F.split(F.regexp_replace(out, r"[.!?](?:\s|$)", "\n\n"), r"\n[ \t]*\n")
+
+
+def normalised(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9+]+", " ")), DENIED, " "))
+
+
+def _versioned(sentence: Column, family: str, names: str) -> Column:
+    """Identifiers of a family's mentions: with version, or the family alone."""
+
+    def name(found: Column) -> Column:
+        number = F.regexp_replace(F.regexp_extract(found, "[0-9](?: [0-9])?", 0), " ", ".")
+        full = F.concat(F.lit(f"{family}-"), number, F.when(F.length(number) == 1, ".0").otherwise(""))
+        if family in LATER:
+            full = F.concat(full, F.when(found.rlike(r"(?:later version|later|\+)$"), "-or-later").otherwise("-only"))
+        return F.when(number == "", family).otherwise(full)
 
-    A sentence ends at a line's end or at . ! ? ; before white space."""
-    parts = F.filter(F.split(F.lower(text), r"\n|[.!?;](?=\s|$)"), lambda s: s.rlike(HINTS))
-    return F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    return F.transform(F.regexp_extract_all(sentence, F.lit(rf"\b(?:{names})\b{_VERSION}|\b(?:{names})(?=v?[0-9]){_VERSION}"), F.lit(0)), name)
 
 
-def sentence_id(sentence: Column) -> Column:
-    """All identifiers of one normalised sentence, in the table's order."""
-    return F.array_compact(F.array(*[F.when(sentence.rlike(p), F.lit(k)) for k, p in SENTENCES]))
+def _creative_commons(sentence: Column) -> Column:
+    def name(found: Column) -> Column:
+        number = F.regexp_replace(F.regexp_extract(found, "[0-9] [0-9]", 0), " ", ".")
+        return F.concat(
+            F.lit("CC-BY"),
+            F.when(found.rlike(" non ?commercial| nc"), "-NC").otherwise(""),
+            F.when(found.rlike(" share ?alike| sa"), "-SA").otherwise(""),
+            F.when(found.rlike(" no ?deriv| nd"), "-ND").otherwise(""),
+            F.when(number == "", "").otherwise(F.concat(F.lit("-"), number)),
+        )
+
+    return F.transform(F.regexp_extract_all(sentence, F.lit(_CC), F.lit(0)), name)
+
+
+def _spdx(sentence: Column) -> Column:
+    """The licences of an SPDX expression; operators, brackets and exceptions are left out."""
+    told = F.regexp_extract(sentence, r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]*)", 1)
+    words = F.split(F.regexp_replace(told, r"(?i)\bwith[ \t]+[^ \t()]+", " "), r"[() \t]+")
+    words = F.filter(words, lambda w: w.rlike("^[A-Za-z0-9][A-Za-z0-9.+-]*$") & ~F.lower(w).isin("or", "and"))
+    return F.transform(words, lambda w: F.concat(F.lit("SPDX="), w))
+
+
+def sentence_ids(sentence: Column) -> Column:
+    """All identifiers of one sentence, in the tables' order."""
+
+    def of(s: Column) -> Column:
+        fixed = F.array_compact(F.array(*[F.when(s.rlike(p), F.lit(k)) for k, p in SENTENCES]))
+        return F.concat(fixed, *[_versioned(s, f, n) for f, n in FAMILIES], _creative_commons(s))
+
+    each = F.flatten(F.transform(F.array(normalised(sentence)), of))
+    return F.when(sentence.rlike(r"(?i)SPDX-License-Identifier:"), _spdx(sentence)).otherwise(each)
 
 
 def identified(text: Column) -> Column:
-    ids = F.flatten(F.transform(sentences(text), sentence_id))
-    return F.when(F.lower(text).rlike(HINTS), F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))).otherwise(F.lit(","))
+    """The identifiers of a text in order."""
+    known = F.filter(sentences(text), lambda s: F.lower(s).rlike(HINTS))
+    ids = F.flatten(F.transform(known, sentence_ids))
+    return F.when(F.lower(text).rlike(HINTS), ids).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids, licenses, n_licenses) for each row of ``docs`` (doc_id, text).
 
-    ``sentence_ids``: identifiers in text order, joined by commas; ``licenses``: matched licences in
-    the rules' order, joined by commas. Null and empty texts have none; repeated rows each get a
-    row; no rows give none; other columns are not read.
+    ``sentence_ids``: identifiers in text order, joined by commas; ``licenses``: licences that
+    sentences or SPDX lines name with or without a version, in text order, then those of the ordered rules, then ``Proprietary`` for rights that no rule used up; each
+    once, joined by commas. A family without a version counts only where no sentence names its version. Null and empty texts
+    have none; repeated rows each get a row; no rows give none; other columns are not read.
     """
     out = docs.select("doc_id", identified(F.coalesce(F.col("text"), F.lit(""))).alias("ids"))
-    out = out.withColumn("rest", F.regexp_replace("ids", ",,+", ","))
+    out = out.withColumn("rest", F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
     for k, (_, rule) in enumerate(RULES):
-        out = out.withColumn(f"r{k}", F.col("rest").rlike(rule)).withColumn("rest", F.regexp_replace("rest", rule, ","))
-    found = F.array_compact(F.array(*[F.when(F.col(f"r{k}"), F.lit(name)) for k, (name, _) in enumerate(RULES)]))
-    count = reduce(lambda a, b: a + b, [F.col(f"r{k}").cast("bigint") for k in range(len(RULES))])
+        out = out.withColumn(f"r{k}", F.col("rest").rlike(rule)).withColumn("rest", F.regexp_replace("rest", rule, ""))
+    by_rule = F.array_compact(F.array(*[F.when(F.col(f"r{k}"), F.lit(name)) for k, (name, _) in enumerate(RULES)]))
+    bare = [f for f, _ in FAMILIES]
+    left = F.filter(
+        F.split(F.regexp_replace("rest", "^<|>$", ""), "><"),
+        lambda i: i.rlike(rf"^(?:{'|'.join(bare)})-|^CC-BY|^SPDX=")
+        | (i.isin(*bare) & ~reduce(lambda a, b: a | b, [(i == f) & F.col("rest").contains(f"<{f}-") for f in bare])),
+    )
+    named = F.transform(left, lambda i: F.regexp_replace(i, "^SPDX=", ""))
+    rights = F.when(F.col("rest").rlike("<(?:AllRights|Secret)>"), F.array(F.lit("Proprietary"))).otherwise(F.array().cast("array<string>"))
+    out = out.select("doc_id", "ids", F.array_distinct(F.concat(named, by_rule, rights)).alias("found"))
     return out.select(
-        "doc_id", F.regexp_replace("ids", "^,+|,+$", "").alias("sentence_ids"), F.array_join(found, ",").alias("licenses"), count.alias("n_licenses")
+        "doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.array_join("found", ",").alias("licenses"),
+        F.size("found").cast("bigint").alias("n_licenses"),
     )
-
-
-def oracle() -> str:
-    """The same scan in DuckDB."""
-    quote = lambda s: s.replace("'", "''")
-    ids = ", ".join(f"case when regexp_matches(s, '{quote(p)}') then '{k}' end" for k, p in SENTENCES)
-    ctes = []
-    for k, (_, rule) in enumerate(RULES):
-        ctes.append(f"s{k + 1} as (select *, regexp_matches(rest{k}, '{quote(rule)}') as r{k}, regexp_replace(rest{k}, '{quote(rule)}', ',', 'g') as rest{k + 1} from s{k})")
-    names = ", ".join(f"case when r{k} then '{name}' end" for k, (name, _) in enumerate(RULES))
-    total = " + ".join(f"r{k}::bigint" for k in range(len(RULES)))
-    return f"""
-with cut as (select row_number() over () as n, doc_id,
-         list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[.!?;](\\s|$)', E'\\n', 'g'), '\\n'),
-                     lambda s: regexp_matches(s, '{HINTS}')) as parts from documents),
-norm as (select n, doc_id, list_transform(parts, lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))) as parts from cut),
-ids as (select n, doc_id, flatten(list_transform(parts, lambda s: list_filter([{ids}], lambda x: x is not null))) as l from norm),
-s0 as (select doc_id, array_to_string(l, ',') as ids, case when len(l) = 0 then ',' else ',' || array_to_string(l, ',') || ',' end as rest0 from ids),
-{', '.join(ctes)}
-select doc_id, ids as sentence_ids, array_to_string(list_filter([{names}], lambda x: x is not null), ',') as licenses, {total} as n_licenses
-from s{len(RULES)}"""

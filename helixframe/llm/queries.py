@@ -12,6 +12,7 @@ from helixframe.llm import (
     embedding_dedup,
     fingerprint,
     license_scan,
+    license_sql,
     line_dedup,
     packing,
     quality,
@@ -111,5 +112,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op8_license_rules": license_scan.oracle(), "op12_url_digests": url_filter.oracle(URL_RULES), "op13_source_divergence": source_divergence.oracle(),
+        "op8_license_rules": license_sql.SCAN, "op12_url_digests": url_filter.oracle(URL_RULES), "op13_source_divergence": source_divergence.oracle(),
     }
