@@ -1,15 +1,17 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The features of a text are densities of a lexicon, how near its words stand to a second person,
-and rates of capitals, punctuation and obfuscated words. The lexicon is a short fixed list with
-words learned from the labels: frequent in toxic training texts and rare in others.
+The features of a text are densities of a lexicon and of learned word beginnings, how near its words stand to a second
+person, and rates of capitals, punctuation and obfuscated words. The lexicon is a short fixed list with words learned from
+the labels: frequent in toxic training texts and rare in others.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,8 +25,14 @@ from helixframe.llm.common import bounded_batches, bounded_labels, cut
 
 #: Bound of the labelled rows used for fitting.
 FIT_ROWS = 20_000
-#: Bound of the words that are learned from the labels.
-LEARNED_WORDS = 200
+#: Letters of the word beginnings that are learned, for words in many endings.
+BEGINNINGS = range(4, 8)
+#: Chance that any word at all is learned though it does not depend on the label.
+CHANCE = 0.05
+#: Parts of the training rows; each is scored by trees of the others to calibrate.
+FOLDS = 3
+#: Share of the trees' own probability in a score, which orders texts within a step of the calibration.
+WITHIN_STEP = 0.02
 SEED_LEXICON = ("idiot", "moron", "stupid", "dumb", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown")
 SECOND_PERSON = (
     "you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch",
@@ -32,7 +40,7 @@ SECOND_PERSON = (
 )
 FEATURES = (
     "hits", "density", "kinds", "plain", "disguised", "second_person", "nearness", "near_hits", "capitals",
-    "shouted", "exclaim", "question", "symbols", "obfuscated", "log_words",
+    "shouted", "exclaim", "question", "symbols", "obfuscated", "log_words", "begun", "begun_density",
 )
 #: Words between a lexicon word and a second person that still count as near.
 NEAR = 8
@@ -48,8 +56,11 @@ def _bare(word: bytes) -> bytes:
     return word.translate(_LEET, b"*")
 
 
-def dense_features(text: str | None, lexicon: frozenset[bytes], masked: frozenset[bytes]) -> list[float]:
-    """``masked``: the lexicon's words without each of their inner letters, for words hidden by stars."""
+def dense_features(
+    text: str | None, lexicon: frozenset[bytes], masked: frozenset[bytes], beginnings: tuple[bytes, ...] = (), heads: frozenset[bytes] = frozenset()
+) -> list[float]:
+    """``masked``: the lexicon's words without each of their inner letters, for words hidden by stars; ``heads``: the first
+    BEGINNINGS.start bytes of each of ``beginnings``."""
     raw = (text or "").encode("utf-8", "replace")
     low = raw.translate(_PLAIN)
     words = low.split()
@@ -69,6 +80,7 @@ def dense_features(text: str | None, lexicon: frozenset[bytes], masked: frozense
     letters = len(raw) - raw.count(b" ") or 1
     tokens = raw.split()
     hits = len(at) + len(hidden)
+    begun = sum(1 for w in words if w[: BEGINNINGS.start] in heads and w.startswith(beginnings)) if heads else 0
     return [
         np.log1p(hits),
         np.sqrt(hits / n),
@@ -85,6 +97,8 @@ def dense_features(text: str | None, lexicon: frozenset[bytes], masked: frozense
         (raw.count(b"*") + raw.count(b"@") + raw.count(b"$") + raw.count(b"#")) / letters,
         len(odd) / n,
         np.log1p(len(words)),
+        np.log1p(begun),
+        np.sqrt(begun / n),
     ]
 
 
@@ -95,28 +109,33 @@ def _masks(lexicon: frozenset[bytes]) -> frozenset[bytes]:
     return frozenset(w[:k] + w[k + m :] for w in lexicon if len(w) > 4 for m in (1, 2) for k in range(1, len(w) - m))
 
 
-def featured(text: Column, lexicon: frozenset[bytes]) -> Column:
+def featured(text: Column, lexicon: frozenset[bytes], beginnings: tuple[bytes, ...]) -> Column:
     """array<double> of the features of a text column; null text counts as empty."""
-    masked = _masks(lexicon)
+    masked, heads = _masks(lexicon), frozenset(b[: BEGINNINGS.start] for b in beginnings)
 
     @F.pandas_udf("array<double>")
     def each(texts: pd.Series) -> pd.Series:
-        return pd.Series([[float(v) for v in dense_features(t, lexicon, masked)] for t in texts])
+        return pd.Series([[float(v) for v in dense_features(t, lexicon, masked, beginnings, heads)] for t in texts])
 
     return each(text)
 
 
-def learn_lexicon(texts: DataFrame) -> frozenset[bytes]:
-    """The fixed list and the words of training rows (text, label) with at least 30 times the share of
-    toxic texts that others have, and in at least a fiftieth of the toxic ones, each text counted
-    once: at most LEARNED_WORDS, the most frequent first."""
+def learn_lexicon(texts: DataFrame) -> tuple[frozenset[bytes], tuple[bytes, ...]]:
+    """Words and word beginnings of training rows (text, label).
+
+    Words: the fixed list and those with at least 30 times the share of toxic texts that others have. Beginnings: those with at
+    least 5 times that share. Both stand in at least a fiftieth of the toxic texts, each text counted once, where chance does
+    not explain it (Chernoff's bound, over all words counted). There are at most 50 times as many as a toxic training text
+    holds on average.
+    """
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [sorted(set((t or "").encode("utf-8", "replace").translate(_PLAIN).split())) for t in batch["text"]]
+            found = [set((t or "").encode("utf-8", "replace").translate(_PLAIN).decode("utf-8", "replace").split(" ")) - {""} for t in batch["text"]]
+            found = [[*ws, *{w[:k] + "-" for w in ws for k in BEGINNINGS if len(w) >= k}] for ws in found]
             yield pd.DataFrame(
                 {
-                    "word": [w.decode("utf-8", "replace") for ws in found for w in ws],
+                    "word": [w for ws in found for w in ws],
                     "label": np.repeat(batch["label"].to_numpy(), [len(ws) for ws in found]),
                 }
             )
@@ -124,19 +143,26 @@ def learn_lexicon(texts: DataFrame) -> frozenset[bytes]:
     texts = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.max("label").alias("label"), F.max("text").alias("text"))
     size = texts.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
     toxic, other = size["toxic"] or 0.0, (size["n"] or 0) - (size["toxic"] or 0.0)
-    learned = []
+    learned, begun = [], []
     if toxic and other:
         counts = texts.select("text", "label").mapInPandas(words, "word string, label double")
-        counts = counts.groupBy("word").agg(F.sum("label").alias("hit"), F.count("*").alias("n"))
+        counts = cut(counts.groupBy("word").agg(F.sum("label").alias("hit"), F.count("*").alias("n")))
+        base, hit = toxic / (toxic + other), F.col("hit") / F.col("n")
+        gain = hit * F.log(hit / base) + F.when(hit < 1, (1 - hit) * F.log((1 - hit) / (1 - base))).otherwise(0.0)
+        sure = F.col("n") * gain >= math.log(max(1, counts.count()) / CHANCE)
         share = (F.col("hit") + 0.5) / (toxic + 1) / ((F.col("n") - F.col("hit") + 0.5) / (other + 1))
-        strong = counts.where((F.col("hit") >= max(3, 0.02 * toxic)) & (share >= 30) & (F.length("word") > 2))
-        learned = [r["word"] for r in strong.orderBy(F.desc("hit"), "word").limit(LEARNED_WORDS).collect()]
-    return frozenset(w.encode() for w in (*SEED_LEXICON, *learned))
+        often = counts.where((F.col("hit") >= max(3, 0.02 * toxic)) & sure & (F.length("word") > 2))
+        whole = ~F.col("word").endswith("-")
+        strong = [r["word"] for r in often.where(share >= F.when(whole, 30).otherwise(5)).select("word").collect()]
+        learned = [w for w in strong if not w.endswith("-")]
+        begun = [w[:-1] for w in strong if w.endswith("-")]
+    return frozenset(w.encode() for w in (*SEED_LEXICON, *learned)), tuple(sorted(w.encode() for w in begun))
 
 
 @dataclass
 class ToxicityModel:
     lexicon: frozenset[bytes]
+    beginnings: tuple[bytes, ...]
     trees: object | None
     calibration: object | None
     #: The score of every text when the training rows hold one class only.
@@ -150,31 +176,42 @@ class ToxicityModel:
         trees, calibration = self.trees, self.calibration
         trees.setFeaturesCol(own[0]).setRawPredictionCol(own[1]).setProbabilityCol(own[3]).setPredictionCol(own[4])
         calibration.setFeaturesCol(own[2]).setPredictionCol(name)
-        out = bounded_batches(docs).withColumn(own[0], array_to_vector(featured(F.col("text"), self.lexicon)))
+        out = bounded_batches(docs).withColumn(own[0], array_to_vector(featured(F.col("text"), self.lexicon, self.beginnings)))
         out = trees.transform(out).withColumn(own[2], vector_to_array(own[3])[1])
-        return calibration.transform(out.drop(name)).withColumn(name, F.least(F.greatest(F.col(name), F.lit(0.0)), F.lit(1.0))).drop(*own)
+        out = calibration.transform(out.drop(name))
+        score = F.col(name) * (1 - WITHIN_STEP) + F.col(own[2]) * WITHIN_STEP
+        return out.withColumn(name, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))).drop(*own)
+
+
+def _margin(trees: object, rows: DataFrame) -> DataFrame:
+    return trees.transform(rows).select("label", vector_to_array("probability")[1].alias("margin"))
 
 
 def fit(texts: DataFrame, trees: int = 20, depth: int = 4, parts: int = 6) -> ToxicityModel:
-    """Fit on rows (doc_id, text, label 0.0 or 1.0); a fifth of them, by a hash of the id, only calibrates."""
+    """Fit on rows (doc_id, text, label 0.0 or 1.0).
+
+    The calibration sees every row once, scored by trees that were fitted without its fold; folds go by a hash of the text, so
+    that copies stand in one. Where a fold leaves one class only, the trees of all rows score it.
+    """
     texts = cut(bounded_batches(texts).select("doc_id", "text", "label"))
-    lexicon = learn_lexicon(texts)
-    rows = cut(
-        texts.select("doc_id", "label", array_to_vector(featured(F.col("text"), lexicon)).alias("features")).withColumn(
-            "calibrates", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0
-        )
-    ).coalesce(parts)
-    train, hold = rows.where("not calibrates"), rows.where("calibrates")
-    seen = {(r["calibrates"], r["label"]): r["count"] for r in rows.groupBy("calibrates", "label").count().collect()}
-    if not all(seen.get((False, c)) for c in (0.0, 1.0)):
-        return ToxicityModel(lexicon, None, None, float(bool(seen.get((False, 1.0)))))
-    if not all(seen.get((True, c)) for c in (0.0, 1.0)):
-        hold = train
-    model = GBTClassifier(
+    lexicon, beginnings = learn_lexicon(texts)
+    fold = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(FOLDS))
+    rows = cut(texts.select(fold.alias("fold"), "label", array_to_vector(featured(F.col("text"), lexicon, beginnings)).alias("features")).coalesce(parts))
+    seen = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
+    total = {c: sum(n for (_, label), n in seen.items() if label == c) for c in (0.0, 1.0)}
+    if not all(total.values()):
+        return ToxicityModel(lexicon, beginnings, None, None, float(bool(total[1.0])))
+    grower = GBTClassifier(
         featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11, minInstancesPerNode=2, cacheNodeIds=False
-    ).fit(train)
-    margin = model.transform(hold).select("label", vector_to_array("probability")[1].alias("margin"))
-    return ToxicityModel(lexicon, model, IsotonicRegression(featuresCol="margin", labelCol="label").fit(margin))
+    )
+    model = grower.fit(rows)
+    scored = []
+    for k in range(FOLDS):
+        both = all(total[c] > seen.get((k, c), 0) for c in (0.0, 1.0))
+        grown = grower.fit(rows.where(F.col("fold") != k)) if both else model
+        scored.append(_margin(grown, rows.where(F.col("fold") == k)))
+    calibration = IsotonicRegression(featuresCol="margin", labelCol="label").fit(cut(reduce(DataFrame.unionByName, scored)))
+    return ToxicityModel(lexicon, beginnings, model, calibration)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_rows: int = FIT_ROWS) -> ToxicityModel:
