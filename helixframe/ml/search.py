@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
@@ -24,29 +25,23 @@ def hashed_fold(key: str, folds: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(folds)).cast("int")
 
 
-def _moments(rows: DataFrame, group: str) -> dict[tuple, np.ndarray]:
-    """For each (fold, class) the sums of products of (1, x) with itself (``group`` of classes), or of (1, x, y) for a fold alone.
+def _moments(rows: DataFrame) -> dict[tuple, np.ndarray]:
+    """For each (fold, class) the sums of (1, x) and of their squares.
 
-    Every task sums its rows up; Spark adds the sums up entry by entry. The driver gets one matrix a group, as wide as the features.
+    Every task sums its rows up; Spark adds the sums up entry by entry. The driver gets two rows a group, as wide as the features.
     """
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for batch in batches:
-            for (fold, kind), part in batch.groupby(["fold", "kind"]):
+            for key, part in batch.groupby(["fold", "kind"]):
                 x = np.c_[np.ones(len(part)), np.stack(part["x"].tolist())]
-                if group == "fold":
-                    x = np.c_[x, part["label"].to_numpy(float)]
-                    sums = x.T @ x
-                else:
-                    sums = np.stack([x.sum(0), (x * x).sum(0)])
-                held[fold, kind] = held.get((fold, kind), 0) + sums
+                held[key] = held.get(key, 0) + np.stack([x.sum(0), (x * x).sum(0)])
         for (fold, kind), sums in held.items():
             i, j = np.indices(sums.shape).reshape(2, -1)
             yield pd.DataFrame({"fold": fold, "kind": kind, "i": i, "j": j, "s": sums.ravel()})
 
-    kind = F.lit(0.0) if group == "fold" else F.col("label").cast("double")
-    given = rows.select("fold", kind.alias("kind"), F.col("label").cast("double").alias("label"), vector_to_array("raw").alias("x")).dropna()
+    given = rows.select("fold", F.col("label").cast("double").alias("kind"), vector_to_array("raw").alias("x")).dropna()
     sums = given.mapInPandas(collect, "fold int, kind double, i int, j int, s double").groupBy("fold", "kind", "i", "j").agg(F.sum("s").alias("s")).toPandas()
     out = {}
     for key, part in sums.groupby(["fold", "kind"]):
@@ -55,30 +50,63 @@ def _moments(rows: DataFrame, group: str) -> dict[tuple, np.ndarray]:
     return out
 
 
-def ridge(moments: np.ndarray, alpha: float) -> np.ndarray:
-    """Intercept and weights from the moments of (1, x, y); the intercept is not penalised, alpha 0 is least squares."""
-    n, sums = moments[0, 0], moments[0, 1:]
-    centred = moments[1:, 1:] - np.outer(sums, sums) / n
-    weights = np.linalg.lstsq(centred[:-1, :-1] + alpha * np.eye(len(centred) - 1), centred[:-1, -1], rcond=None)[0]
-    return np.r_[(sums[-1] - weights @ sums[:-1]) / n, weights]
+def _whole_moments(rows: DataFrame) -> dict[int, list[list[Fraction]]]:
+    """For each fold the sums of products of (1, x, y) with itself, free of rounding: every double is a whole number times a power of two."""
+
+    def add(parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, int]:
+        low = min(e for _, e in parts)
+        return sum(m * (1 << (e - low)) for m, e in parts), low
+
+    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for fold, part in batch.groupby("fold"):
+                x = np.c_[np.ones(len(part)), np.stack(part["x"].tolist()), part["label"].to_numpy(float)]
+                x = x[np.isfinite(x).all(1)]
+                if not len(x):
+                    continue
+                mantissa, power = np.frexp(x)
+                low = int(power[x != 0].min())
+                whole = (mantissa * 2.0**53).astype(np.int64).astype(object) * np.left_shift(np.ones(x.shape, object), np.where(x != 0, power - low, 0).astype(object))
+                sums = (whole.T @ whole, 2 * (low - 53))
+                held[fold] = add([held[fold], sums]) if fold in held else sums
+        for fold, (sums, low) in held.items():
+            yield pd.DataFrame({"fold": [fold], "low": [low], "sums": [[[str(v) for v in row] for row in sums]]})
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        sums, low = add([(np.array([[int(v) for v in row] for row in m], object), int(e)) for m, e in zip(group["sums"], group["low"])])
+        return pd.DataFrame({"fold": group["fold"][:1], "low": [low], "sums": [[[str(v) for v in row] for row in sums]]})
+
+    kind = "fold int, low int, sums array<array<string>>"
+    given = rows.select("fold", F.col("label").cast("double").alias("label"), vector_to_array("raw").alias("x")).dropna()
+    told = given.mapInPandas(collect, kind).groupBy("fold").applyInPandas(merge, kind).collect()
+    return {r["fold"]: [[Fraction(int(v)) * Fraction(2) ** r["low"] for v in row] for row in r["sums"]] for r in told}
 
 
 def ridge_search(rows: DataFrame, alphas: list[float], fold: Column) -> DataFrame:
     """alpha, fold, score (R2 of the held-out fold), mean, rank of rows (label, raw), from one scan.
 
-    A candidate of a fold is solved from the moments of the other folds and scored by those of its own; the mean ranks. A fold
-    of one value has score 0; rows with nulls are left out; fewer than two folds with rows raise an error.
+    A candidate of a fold is solved from the moments of the other folds and scored by those of its own; the mean ranks, the
+    lower alpha on ties. Sums, intercepts, scores and means are exact, as candidates often differ by less than doubles tell. A fold
+    of one value has score 0; rows with nulls or values that are not finite are left out; fewer than two folds with rows raise an error.
     """
-    found = {fold: m for (fold, _), m in _moments(rows.withColumn("fold", fold), "fold").items()}
+    found = {k: np.array(m, object) for k, m in sorted(_whole_moments(rows.withColumn("fold", fold)).items())}
     if len(found) < 2:
         raise ValueError("a search takes rows of two folds at least")
-    total, scores = sum(found.values()), []
+    total, scores = sum(found.values()), {}
     for alpha in alphas:
-        for k, m in sorted(found.items()):
-            v = np.r_[-ridge(total - m, alpha), 1.0]
-            lost, spread = v @ m @ v, m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
-            scores.append((float(alpha), int(k), float(1 - lost / spread) if spread > 0 else 0.0))
-    return _ranked(rows.sparkSession.createDataFrame(scores, "alpha double, fold int, score double"), "alpha")
+        for k, m in found.items():
+            rest = total - m
+            centred = (rest[1:, 1:] - np.outer(rest[0, 1:], rest[0, 1:]) / rest[0, 0]).astype(float)
+            penalty = float(alpha) * np.eye(len(centred) - 1)
+            weights = np.array([Fraction(w) for w in np.linalg.lstsq(centred[:-1, :-1] + penalty, centred[:-1, -1], rcond=None)[0].tolist()], object)
+            v = np.array([weights @ rest[0, 1:-1] / rest[0, 0] - rest[0, -1] / rest[0, 0], *-weights, Fraction(1)], object)
+            spread = m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
+            scores[alpha, k] = 1 - v @ m @ v / spread if spread > 0 else Fraction(0)
+    mean = {a: sum(scores[a, k] for k in found) / len(found) for a in alphas}
+    rank = {a: i + 1 for i, a in enumerate(sorted(mean, key=lambda a: (-mean[a], a)))}
+    out = [(float(a), int(k), float(s), float(mean[a]), rank[a]) for (a, k), s in scores.items()]
+    return rows.sparkSession.createDataFrame(out, "alpha double, fold int, score double, mean double, rank int")
 
 
 def naive_bayes_search(rows: DataFrame, smoothings: list[float], fold: Column) -> DataFrame:
@@ -88,7 +116,7 @@ def naive_bayes_search(rows: DataFrame, smoothings: list[float], fold: Column) -
     ``smoothing`` times the largest variance of a feature is added to variances. Ties of classes go to the lower label.
     """
     marked = rows.withColumn("fold", fold)
-    found = _moments(marked, "class")
+    found = _moments(marked)
     folds, kinds = (sorted({k[i] for k in found}) for i in (0, 1))
     if len(folds) < 2:
         raise ValueError("a search takes rows of two folds at least")
