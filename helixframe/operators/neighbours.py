@@ -134,14 +134,22 @@ def nearest_pruned(rows: DataFrame, queries: DataFrame, k: int, pivots: int = PI
 
 
 def impute_nearest(df: DataFrame, key: str, column: str, features: list[str], k: int = 5) -> DataFrame:
-    """Missing values of ``column`` become the mean of the k nearest rows that have one, by the other features."""
-    vector = F.array(*[F.col(c).cast("double") for c in features])
-    known = df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), vector.alias("vector"))
-    asked = df.where(F.col(column).isNull()).select(F.col(key).alias("q"), vector.alias("qv"))
-    values = df.select(F.col(key).cast("long").alias("id"), F.col(column).cast("double").alias("value"))
-    mean = nearest(known, asked, k).join(values, "id").groupBy(F.col("q").alias("__q")).agg(F.avg("value").alias("__mean"))
-    out = df.join(mean, df[key].cast("long") == mean["__q"], "left")
-    return out.withColumn(column, F.coalesce(F.col(column).cast("double"), "__mean")).select(*df.columns)
+    """Missing values of ``column`` become the mean of the k nearest rows that have one, by the other features; lower keys on ties.
+
+    Rows of equal features are at equal distances: of those with a value only the k lowest keys can be among the nearest, and those
+    without one get the same mean. So the search runs over different features alone, through cells where all components are there.
+    """
+    numbers = [F.nanvl(F.col(c).cast("double"), F.lit(None)) + F.lit(0.0) for c in features]
+    rows = df.select(F.col(key).cast("long").alias("id"), F.array(*numbers).alias("vector"), F.col(column).cast("double").alias("value"))
+    first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    known = stored(rows.where(F.col("value").isNotNull()).withColumn("__k", first).where(F.col("__k") <= k).drop("__k"))
+    asked = stored(rows.where(F.col("value").isNull()).groupBy("vector").agg(F.min("id").alias("q")))
+    found = nearest_pruned(known.select("id", "vector"), asked.select("q", F.col("vector").alias("qv")), k)[0]
+    mean = found.join(known.select("id", "value"), "id").groupBy("q").agg(F.avg("value").alias("__mean"))
+    mean = asked.join(mean, "q").select(F.col("vector").alias("__vector"), "__mean")
+    missing = df.where(F.col(column).isNull()).withColumn("__v", F.array(*numbers))
+    filled = missing.join(mean, F.col("__v").eqNullSafe(F.col("__vector")), "left").withColumn(column, F.col("__mean"))
+    return df.where(F.col(column).isNotNull()).withColumn(column, F.col(column).cast("double")).select(*df.columns).unionByName(filled.select(*df.columns))
 
 
 def min_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
