@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.ml import kernels, search
+from helixframe.storage import spread
 
 
 def classifier(name: str, n: int = 1, classes: int = 2):
@@ -65,7 +66,8 @@ def pipeline(estimator, columns: list[str] | None = None, scaled: bool = True) -
 
 
 def embedded(embeddings: DataFrame, label: str = "label") -> DataFrame:
-    return embeddings.select(F.col("vec_id").alias("id"), F.col(label).cast("double").alias("label"), array_to_vector("embedding").alias("raw"))
+    """id, label, raw, stored and dealt to all cores, as models are fitted on them."""
+    return spread(embeddings.select(F.col("vec_id").alias("id"), F.col(label).cast("double").alias("label"), array_to_vector("embedding").alias("raw")), "id")
 
 
 def tuned(train: DataFrame, estimator, grid: dict[str, list], folds: int = 3, many: int | None = None, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
