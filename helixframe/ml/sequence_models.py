@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from helixframe.ml.bagged import BaggedForest
 from helixframe.ml.training import split
 from helixframe.operators import features, metrics
-from helixframe.storage import stored
+from helixframe.storage import spread, stored
 
 
 @dataclass
@@ -57,7 +57,7 @@ class SequenceModel:
         if not self.proteins:
             self.words = features.vocabulary(seqs, self.sizes, self.many)
         self.labels = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc").fit(seqs)
-        rows = self.table(seqs).join(self.labels.transform(seqs).select("seq_idx", F.col("target").alias("label")), "seq_idx")
+        rows = spread(self.table(seqs).join(self.labels.transform(seqs).select("seq_idx", F.col("target").alias("label")), "seq_idx"), "seq_idx")
         classes = len(self.labels.labels)
         if self.balanced:
             per = rows.groupBy("label").agg(F.count("*").alias("__c"))
@@ -102,7 +102,7 @@ def discover_biomarkers(seqs: DataFrame, top: int = 50, trees: int = 500, depth:
     table.words = features.vocabulary(fit, table.sizes, table.many)
     labels = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="skip").fit(fit)
     marked = lambda part: table.table(part).join(labels.transform(part).select("seq_idx", F.col("target").alias("label")), "seq_idx")
-    rows = stored(marked(fit))
+    rows = spread(marked(fit), "seq_idx")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(rows)
     rows, other = scaler.transform(rows), scaler.transform(stored(marked(held)))
     forest = BaggedForest(trees, group, depth, key="seq_idx").fit(rows)
