@@ -46,7 +46,7 @@ def orf_all(spark, d):
 
 @query
 def orf_six_frame(spark, d):
-    return scans.orfs(scans.frames(seqs(spark, d)), "strand").groupBy("frame").agg(F.count("*").alias("orfs"), F.max("orf_length").alias("longest"))
+    return scans.orfs(scans.frames(seqs(spark, d)), "strand", text=False).groupBy("frame").agg(F.count("*").alias("orfs"), F.max("orf_length").alias("longest"))
 
 
 @query
