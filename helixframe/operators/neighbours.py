@@ -16,7 +16,7 @@ from helixframe.storage import stored
 #: Rows of a block that a task compares with all queries of a block at once.
 BLOCK = 4096
 #: Numbers of a difference of blocks that are held at once, and pivots of the pruned search.
-CELLS, PIVOTS = 1 << 22, 256
+CELLS, PIVOTS = 1 << 20, 256
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
