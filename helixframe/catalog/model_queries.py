@@ -259,7 +259,7 @@ def tree_shap_summary(spark, d):
     """The ten features that move a forest's votes most, over all vectors and labels."""
     rows = M.embedded(load(spark, d, "embeddings"))
     model = M.classifier("random_forest").setFeaturesCol("raw").fit(rows)
-    return explain.mean_sizes(explain.tree_contributions(model, rows, "raw"), [f"e{i}" for i in range(model.numFeatures)], 10)
+    return explain.tree_mean_sizes(model, rows, [f"e{i}" for i in range(model.numFeatures)], "raw", 10)
 
 
 @query

@@ -95,3 +95,35 @@ def test_summary_is_the_mean_of_absolute_parts(spark):
     assert len(got) == 10 and [v for _, v in got] == sorted((v for _, v in got), reverse=True)
     few = spark.createDataFrame([(1, [[1.0, -2.0], [0.0, 4.0]]), (2, [[-3.0, 0.0], [0.0, 2.0]])], "id long, contributions array<array<double>>")
     assert [(r["feature"], r["mean_size"], r["rank"]) for r in explain.mean_sizes(few, ["a", "b"]).orderBy("rank").collect()] == [("b", 2.0, 1), ("a", 1.0, 2)]
+
+
+def test_ways_through_a_leaf_are_worked_out_once_for_many_rows(monkeypatch):
+    """A leaf's values are looked up: however many rows there are, no more columns are worked out than its features can pass or fail."""
+    tree = explain.Tree(np.array([0, 1, -1, -1, -1]), np.array([0.0, 0.5, 0, 0, 0]), {}, np.array([1, 2, -1, -1, -1]), np.array([4, 3, -1, -1, -1]), np.array([9.0, 6, 4, 2, 3]), np.array([[0.0], [0], [1], [2], [5]]))
+    asked, plain = [], explain.leaf_values
+    monkeypatch.setattr(explain, "leaf_values", lambda share, passed: asked.append(passed.shape[1]) or plain(share, passed))
+    x = np.random.default_rng(5).standard_normal((3000, 2))
+    got = explain.Ensemble([tree], [2.0]).contributions(x)
+    assert max(asked) <= 4
+    few = np.concatenate([explain.Ensemble([tree], [2.0]).contributions(x[i : i + 1]) for i in range(50)])
+    assert np.allclose(got[:50], few) and np.allclose(got[:5], [shapley(explain.Ensemble([tree], [2.0]), v) for v in x[:5]])
+
+
+def test_leaves_in_several_runs_and_blocks_add_up(rows, monkeypatch):
+    model = K.RandomForestClassifier(numTrees=3, maxDepth=7, seed=2).fit(rows)
+    x = np.array([r["x"] for r in rows.select(vector_to_array("features").alias("x")).collect()])
+    whole = explain.ensemble(model).contributions(x)
+    monkeypatch.setattr(explain, "LEAF_FEATURES", 7)
+    monkeypatch.setattr(explain, "BLOCK", 33)
+    assert np.allclose(explain.ensemble(model).contributions(x), whole, atol=1e-12)
+
+
+def test_summary_without_rows_of_parts(spark, rows):
+    """Equal to the mean over the rows of parts, with copies of a row and rows without features."""
+    model = K.RandomForestClassifier(numTrees=4, maxDepth=5, seed=2).fit(rows)
+    some = rows.where("id < 60").unionByName(rows.where("id < 9")).withColumn("features", F.when(F.col("id") != 30, F.col("features")))
+    names = [f"x{k}" for k in range(8)]
+    want = {r["feature"]: (r["mean_size"], r["rank"]) for r in explain.mean_sizes(explain.tree_contributions(model, some), names).collect()}
+    got = {r["feature"]: (r["mean_size"], r["rank"]) for r in explain.tree_mean_sizes(model, some, names).collect()}
+    assert set(got) == set(want) and all(abs(got[n][0] - want[n][0]) < 1e-12 and got[n][1] == want[n][1] for n in got)
+    assert explain.tree_mean_sizes(model, some.limit(0), names).count() == 0
